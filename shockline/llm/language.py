@@ -155,10 +155,10 @@ def predict(docs: DataFrame, coder: Coder, least_gap: float = 0.5, columns: tupl
                     scores.append(float(min(1.0, p)) if ok else 0.0)
                     close.append(bool(gap < least_gap) or not ok)
             cols = [*batch.columns[:n_in], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*columns, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays(cols, [*columns, *(c.split()[0] for c in RESULT.split(", "))])
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    return docs.select(*columns, "text", has_letter).mapInArrow(mapped, f"{ddl}, {RESULT}")
+    return docs.select(*columns, F.col("text").alias("_text"), has_letter).mapInArrow(mapped, f"{ddl}, {RESULT}")
 
 
 def digest(docs: DataFrame) -> DataFrame:

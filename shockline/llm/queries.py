@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shockline.llm import jaccard, language, neardup, packing, pieces, quality, scoring, secrets, warc
+from shockline.llm import jaccard, language, licenses, neardup, packing, pieces, quality, scoring, secrets, warc
 from shockline.llm.tokens import vocabulary
 
 
@@ -30,6 +30,10 @@ def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_secrets": op3_secrets,
     "op4_scoring": op4_scoring,
+    "op5_licenses": op5_licenses,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
