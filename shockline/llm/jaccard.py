@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shockline.llm.blocks import open_block, write_blocks
 from shockline.llm.shared import components, cut
-from shockline.llm.text import mix, shingles, words
+from shockline.llm.text import mix, shingles, slices, words
 
 LEVELS = 16
 
@@ -59,12 +59,35 @@ def count_fragment(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": part["block"], "fragment": part["fragment"], "n": np.diff(edges), "levels": packed})
 
 
-DOCS = "doc_id long, m long, set_hash string, prefix array<long>, segments array<struct<f:int,t:array<long>>>"
+SIGNS = "doc_id long, m long, set_hash string"
 
 
-def profiles(docs: DataFrame, n: int, percent: int, per_fragment: int = 1_500_000) -> DataFrame:
-    """DOCS: each document's set size and 128-bit set hash; for those that may have a partner, the n-grams of the
-    prefix that occur elsewhere and, by fragments of the global order, all n-grams that occur elsewhere."""
+def sign(s: np.ndarray) -> str:
+    """Size and a 128-bit hash of a set."""
+    one, two = mix(s), mix(s ^ np.uint64(0x5851F42D4C957F2D))
+    return f"{len(s):x}-{int(one.sum(dtype=np.uint64)):016x}{int(two.sum(dtype=np.uint64)):016x}"
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """SIGNS of every row: the size of its set and the set's hash."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in slices(batch.column(1)):
+                w = words(run, lower=True)
+                sets = [shingles(w.hash[a:b], n) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                cols = [batch.column(0).slice(run.first, len(run)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SIGNS.split(", ")])
+
+    return cut(docs.select("doc_id", "text").mapInArrow(mapped, SIGNS))
+
+
+NODES = "doc_id long, m long, prefix array<long>, segments array<struct<f:int,t:array<long>>>"
+
+
+def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, per_fragment: int = 1_500_000) -> DataFrame:
+    """NODES of the documents in reps (rep, set_hash) that may have a partner: the n-grams of the prefix that occur
+    elsewhere and, by fragments of the global order, all n-grams that occur elsewhere."""
     blocks = write_blocks(docs)
     spark = docs.sparkSession
     total = blocks.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
@@ -90,6 +113,8 @@ def profiles(docs: DataFrame, n: int, percent: int, per_fragment: int = 1_500_00
     spread = blocks.mapInArrow(grams, "fragment long, block long, keys binary, counts binary")
     levels = spread.groupBy("fragment").applyInPandas(count_fragment, "block long, fragment long, n long, levels binary")
     per_block = levels.groupBy("block").agg(F.collect_list(F.struct("fragment", "n", "levels")).alias("levels"))
+    inside = blocks.select("block", F.explode("doc_ids").alias("rep")).join(reps, "rep")
+    wanted = inside.groupBy("block").agg(F.collect_set(F.struct("rep", "set_hash")).alias("wanted"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,17 +124,15 @@ def profiles(docs: DataFrame, n: int, percent: int, per_fragment: int = 1_500_00
                 level = np.concatenate([np.frombuffer(pa.decompress(p["levels"], decompressed_size=p["n"], codec="zstd", asbytes=True), np.uint8) for p in parts] or [np.zeros(0, np.uint8)])
                 _, inverse = np.unique(keys_of(flat, fragments), return_inverse=True)
                 level = level[inverse]
-                one, two = mix(flat), mix(flat ^ np.uint64(0x5851F42D4C957F2D))
+                wanted = {(r["rep"], r["set_hash"]) for r in row["wanted"]}
                 rows: list[tuple] = []
                 for i, doc_id in enumerate(row["doc_ids"]):
                     a, b = int(edges[i]), int(edges[i + 1])
-                    m = b - a
-                    sig = f"{m:x}-{int(one[a:b].sum(dtype=np.uint64)):016x}{int(two[a:b].sum(dtype=np.uint64)):016x}"
-                    lv = level[a:b]
+                    m, lv = b - a, level[a:b]
                     least = -(-percent * m // 100)
-                    if not m or (lv > 0).sum() < least:
-                        rows.append((doc_id, m, sig, None, None))
+                    if not m or (lv > 0).sum() < least or (key := (doc_id, sign(flat[a:b]))) not in wanted:
                         continue
+                    wanted.remove(key)
                     order = np.lexsort((flat[a:b], lv))
                     tokens, lv = flat[a:b][order], lv[order]
                     rare = int((lv == 0).sum())
@@ -118,14 +141,14 @@ def profiles(docs: DataFrame, n: int, percent: int, per_fragment: int = 1_500_00
                     f = lv.astype(np.int64) * 4 + (tokens >> np.uint64(62)).astype(np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(f)) + 1).tolist(), len(f)]
                     segments = [{"f": int(f[c]), "t": tokens[c:d].view(np.int64).tolist()} for c, d in zip(cuts[:-1], cuts[1:], strict=True)]
-                    rows.append((doc_id, m, sig, prefix, segments))
+                    rows.append((doc_id, m, prefix, segments))
                 segment = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.list_(pa.int64()))]))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), segment]
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), segment]
                 for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), types, strict=True)], [c.split()[0] for c in DOCS.split(", ", 4)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), types, strict=True)], [c.split()[0] for c in NODES.split(", ", 3)])
 
-    joined = blocks.join(per_block, "block", "left").select("doc_ids", "offsets", "size", "data", "levels")
-    return cut(joined.mapInArrow(place, DOCS))
+    joined = blocks.join(per_block.join(wanted, "block"), "block").select("doc_ids", "offsets", "size", "data", "levels", "wanted")
+    return cut(joined.mapInArrow(place, NODES))
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -156,7 +179,7 @@ def links(nodes: DataFrame, percent: int, first_leaders: int = 4, max_rounds: in
         groups = groups.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("big"), F.sum("k").alias("members"), F.count("*").alias("comps"))
         groups = groups.where("comps > 1").select("gram", F.col("big.comp").alias("big"), (F.col("members") - F.col("big.k")).alias("minor"))
         chance = F.lit(float(first_leaders * 4**r)) / F.col("minor")
-        spread = F.pmod(F.xxhash64("doc_id", "gram", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
+        spread = F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
         open_ = at.join(groups, "gram").withColumn("lead", (F.col("comp") != F.col("big")) & (spread < chance)).drop("big", "minor")
         open_ = cut(open_)
         if open_.isEmpty():
@@ -192,11 +215,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     no component (null), and rows of one id are one document.  An empty table
     gives no rows.  Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
-    every = profiles(docs, n, percent)
+    every = signatures(docs, n)
     some = every.where("m > 0 and doc_id is not null")
-    reps = some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    nodes = every.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
-    nodes = cut(nodes.where(F.size("segments") > 0).dropDuplicates(["doc_id"]))
+    reps = cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    nodes = profiles(docs, reps, n, percent)
     comp = components(links(nodes, percent)).select(F.col("id").alias("rep"), "component")
     named = reps.join(comp, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "m", "set_hash").join(named, "set_hash", "left")
@@ -216,9 +238,10 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
 n AS (SELECT doc_id, len(sh)::BIGINT AS m FROM s),
-t AS (SELECT doc_id, unnest(sh) AS g FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 80 * (na.m + nb.m - c)),
+t AS (SELECT doc_id, len(sh)::BIGINT AS m, unnest(list_transform(sh, lambda x: hash(x))) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.m AS ma, y.m AS mb, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id < y.doc_id AND 10 * x.m >= 8 * y.m AND 10 * y.m >= 8 * x.m GROUP BY ALL),
+k AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (ma + mb - c)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
 r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT n.doc_id, n.m AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.m
 """
