@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there: what follows doesn't run it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table to the shared folder and read from there: what follows doesn't run it again, and
+    plans it by its real size.  Row groups are small, so that tasks share a table of large rows evenly."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_of(col: str) -> Column:
