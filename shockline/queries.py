@@ -1,4 +1,395 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: each operator over whole tables of the driver, and its SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The star schema is read as code facts: nations extend regions, suppliers
+implement nations, customers take them as parameters, orders construct
+customers and call parts, parts call suppliers.  A region is a change; its
+changed symbols are the region and its nations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shockline.functions.lineage import cut
+from shockline.operators import affected_tests, changed, churn, deps, diffs, flows, graph, impact, labels, reports, risk
+from shockline.sources import inputs
+
+REPO = "shop"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _id(prefix: str, column: str):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def _joined(column: str):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
+def dependencies(spark: SparkSession, d: str) -> DataFrame:
+    one = F.array(F.lit(1)).alias("lines"), F.lit(1).alias("occurrences")
+    keyed = lambda t, a, pa, b, pb, kind: table(spark, d, t).select(_id(pa, a).alias("source"), _id(pb, b).alias("target"), F.lit(kind).alias("type"), *one)
+    items = table(spark, d, "lineitem")
+    calls = items.select(_id("p", "l_partkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.lit("method_call").alias("type"), F.col("l_linenumber").cast("int").alias("line"))
+    calls = calls.unionByName(items.select(_id("o", "l_orderkey").alias("source"), _id("p", "l_partkey").alias("target"), F.lit("static_call").alias("type"), F.col("l_linenumber").cast("int").alias("line")))
+    rows = deps.aggregate(calls.withColumns({"repo": F.lit(REPO), "file": F.lit("all.php")})).drop("file", "repo")
+    for part in (
+        keyed("nation", "n_nationkey", "n", "n_regionkey", "r", "extends"),
+        keyed("supplier", "s_suppkey", "s", "s_nationkey", "n", "implements"),
+        keyed("customer", "c_custkey", "c", "c_nationkey", "n", "parameter_type"),
+        keyed("orders", "o_orderkey", "o", "o_custkey", "c", "constructor_call"),
+    ):
+        rows = rows.unionByName(part)
+    return rows.withColumn("repo", F.lit(REPO))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.build_edges(dependencies(spark, d))
+
+
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    own = nation.select(_id("r", "n_regionkey").alias("change_id"), _id("n", "n_nationkey").alias("symbol"))
+    return own.unionByName(nation.select(_id("r", "n_regionkey").alias("change_id"), _id("r", "n_regionkey").alias("symbol")).distinct()).withColumn("repo", F.lit(REPO))
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    start = F.floor(F.col("p_partkey") / 100) * 10
+    return part.select(
+        F.lit(REPO).alias("repo"), _id("p", "p_partkey").alias("fqn"), F.when(F.col("p_partkey") % 2 == 0, "method").otherwise("class").alias("type"), F.col("p_name").alias("name"),
+        F.concat(F.lit("f"), (F.col("p_partkey") % 100).cast("string"), F.lit(".php")).alias("file"), start.cast("int").alias("start_line"), (start + F.col("p_size")).cast("int").alias("end_line"),
+    )
+
+
+def touched(spark: SparkSession, d: str) -> DataFrame:
+    """Added lines: one per order line, in the file and at the line its keys name."""
+    items = table(spark, d, "lineitem")
+    return items.select(F.lit(REPO).alias("repo"), F.lit("all").alias("change_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 100).cast("string"), F.lit(".php")).alias("file"), (F.col("l_partkey") % 250).cast("int").alias("line"))
+
+
+EDGES = """e AS (
+    SELECT source, target, type, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines, count(*)::BIGINT AS occurrences FROM (
+        SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, 'method_call' AS type, l_linenumber AS line FROM lineitem
+        UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'static_call', l_linenumber FROM lineitem
+        UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'extends', 1 FROM nation
+        UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'implements', 1 FROM supplier
+        UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'parameter_type', 1 FROM customer
+        UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'constructor_call', 1 FROM orders) GROUP BY ALL),
+x AS (SELECT 'r' || n_regionkey AS change_id, 'n' || n_nationkey AS symbol FROM nation UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey FROM nation)"""
+REACH = (
+    EDGES
+    + """,
+w(origin, node, depth) AS (SELECT symbol, symbol, 0 FROM x UNION SELECT w.origin, e.source, w.depth + 1 FROM w JOIN e ON e.target = w.node WHERE w.depth < 8),
+m AS (SELECT origin, node, min(depth) AS depth FROM w GROUP BY ALL),
+ev AS (SELECT x.change_id, s.node AS impacted_symbol, s.origin AS changed_symbol, s.depth, e.target, e.type AS dependency_type, e.occurrences
+    FROM x JOIN m s ON s.origin = x.symbol AND s.depth > 0 JOIN e ON e.source = s.node JOIN m t ON t.origin = s.origin AND t.node = e.target AND t.depth = s.depth - 1
+    WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.change_id = x.change_id AND y.symbol = s.node)),
+en AS (SELECT change_id, impacted_symbol, min(depth) AS depth FROM ev GROUP BY ALL)"""
+)
+
+
+@query("e1_edges", f"WITH {EDGES} SELECT source, target, type, lines, occurrences FROM e")
+def e1_edges(spark, d):
+    return edges(spark, d).select("source", "target", "type", _joined("lines").alias("lines"), F.col("occurrences").cast("long").alias("occurrences"))
+
+
+@query("e2_nodes", f"WITH {EDGES} SELECT id, 'p' || p.p_partkey IS NOT NULL AS known, id AS name FROM (SELECT source AS id FROM e UNION SELECT target FROM e UNION SELECT 'p' || p_partkey FROM part) LEFT JOIN part p ON id = 'p' || p.p_partkey")
+def e2_nodes(spark, d):
+    own = symbols(spark, d).withColumn("name", F.col("fqn"))
+    return graph.build_nodes(own, edges(spark, d)).select("id", "known", "name")
+
+
+@query("e3_dependents", f"WITH {EDGES} SELECT DISTINCT e.target AS id, e.source AS dependent FROM e JOIN x ON x.symbol = e.target")
+def e3_dependents(spark, d):
+    return graph.dependents(edges(spark, d), changes(spark, d).select("repo", F.col("symbol").alias("id"))).select("id", "dependent")
+
+
+@query("e7_reverse_adjacency", f"WITH {EDGES} SELECT target, array_to_string(list_sort(list(source || ':' || type)), ',') AS edges FROM e GROUP BY target")
+def e7_reverse_adjacency(spark, d):
+    rows = graph.reverse_adjacency(edges(spark, d))
+    return rows.select("target", F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws(":", e["source"], e["type"]))), ",").alias("edges"))
+
+
+@query("f1_direct_impact", f"WITH {EDGES} SELECT x.change_id, x.symbol AS changed_symbol, e.source AS impacted_symbol, e.type AS dependency_type, e.occurrences FROM x JOIN e ON e.target = x.symbol WHERE e.source <> e.target")
+def f1_direct_impact(spark, d):
+    rows = impact.direct_impact(changes(spark, d), edges(spark, d))
+    return rows.select("change_id", "changed_symbol", "impacted_symbol", "dependency_type", F.col("occurrences").cast("long").alias("occurrences"))
+
+
+@query("f2_impacted_symbols", f"WITH {EDGES} SELECT x.change_id, e.source AS impacted_symbol, count(*) AS n_edges, array_to_string(list_sort(list_distinct(list(x.symbol))), ',') AS causes FROM x JOIN e ON e.target = x.symbol WHERE e.source <> e.target GROUP BY ALL")
+def f2_impacted_symbols(spark, d):
+    rows = impact.impacted_symbols(impact.direct_impact(changes(spark, d), edges(spark, d)))
+    return rows.select("change_id", "impacted_symbol", F.size("edges").cast("long").alias("n_edges"), F.array_join("causes", ",").alias("causes"))
+
+
+def origins(spark, d):
+    return impact.blast_origins(changes(spark, d), edges(spark, d))
+
+
+@query("f3_blast_origins", f"WITH RECURSIVE {REACH} SELECT change_id, impacted_symbol, changed_symbol, depth::BIGINT AS depth, target, dependency_type, occurrences FROM ev")
+def f3_blast_origins(spark, d):
+    return origins(spark, d).select("change_id", "impacted_symbol", "changed_symbol", F.col("depth").cast("long").alias("depth"), "target", "dependency_type", F.col("occurrences").cast("long").alias("occurrences"))
+
+
+@query("f4_blast_radius", f"WITH RECURSIVE {REACH} SELECT change_id, impacted_symbol, min(depth)::BIGINT AS depth, count(*) AS n_origins FROM ev GROUP BY ALL")
+def f4_blast_radius(spark, d):
+    rows = impact.blast_radius(origins(spark, d))
+    return rows.select("change_id", "impacted_symbol", F.col("depth").cast("long").alias("depth"), F.size("origins").cast("long").alias("n_origins"))
+
+
+def flagship(spark, d):
+    return f4_blast_radius(spark, d)
+
+
+@query("f6_depth_histogram", f"WITH RECURSIVE {REACH} SELECT change_id, depth::BIGINT AS depth, count(*) AS symbols FROM en GROUP BY ALL")
+def f6_depth_histogram(spark, d):
+    rows = impact.depth_histogram(impact.blast_depths(origins(spark, d)))
+    return rows.select("change_id", F.col("depth").cast("long").alias("depth"), "symbols")
+
+
+FLOWS = (
+    EDGES
+    + """,
+c AS (SELECT 'c' || c_custkey AS symbol FROM customer UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'p' || p_partkey FROM part),
+l1 AS (SELECT symbol AS origin, target AS node, [target] AS path, min(type) AS t1 FROM c JOIN e ON e.source = c.symbol WHERE e.target <> c.symbol GROUP BY ALL),
+l2 AS (SELECT l1.origin, e.target AS node, min({'p': list_append(l1.path, e.target), 't': t1}) AS b FROM l1 JOIN e ON e.source = l1.node WHERE e.target <> l1.origin AND NOT EXISTS (SELECT 1 FROM l1 y WHERE y.origin = l1.origin AND y.node = e.target) GROUP BY ALL),
+l3 AS (SELECT l2.origin, e.target AS node, min({'p': list_append(l2.b.p, e.target), 't': l2.b.t}) AS b FROM l2 JOIN e ON e.source = l2.node WHERE e.target <> l2.origin AND NOT EXISTS (SELECT 1 FROM l1 y WHERE y.origin = l2.origin AND y.node = e.target)
+    AND NOT EXISTS (SELECT 1 FROM l2 y WHERE y.origin = l2.origin AND y.node = e.target) GROUP BY ALL),
+t AS (SELECT origin, node, path AS p, t1 AS t FROM l1 UNION ALL SELECT origin, node, b.p, b.t FROM l2 UNION ALL SELECT origin, node, b.p, b.t FROM l3)"""
+)
+
+
+@query(
+    "g_affected_flows",
+    f"""WITH {FLOWS} SELECT origin AS changed_symbol, len(p)::BIGINT AS depth, array_to_string(p, '>') AS path,
+    CASE t WHEN 'extends' THEN 'inheritance_chain' WHEN 'implements' THEN 'contract_chain' WHEN 'parameter_type' THEN 'type_dependency_chain' WHEN 'constructor_call' THEN 'construction_chain' ELSE 'call_chain' END AS type
+    FROM t WHERE NOT EXISTS (SELECT 1 FROM t y WHERE y.origin = t.origin AND len(y.p) = len(t.p) + 1 AND y.p[len(y.p) - 1] = t.node)""",
+)
+def g_affected_flows(spark, d):
+    ids = None
+    for t, k, p in (("customer", "c_custkey", "c"), ("supplier", "s_suppkey", "s"), ("part", "p_partkey", "p")):
+        part = table(spark, d, t).select(F.lit(REPO).alias("repo"), F.lit("all").alias("change_id"), _id(p, k).alias("symbol"))
+        ids = part if ids is None else ids.unionByName(part)
+    e = cut(edges(spark, d))
+    rows = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e))
+    return rows.select("changed_symbol", F.col("depth").cast("long").alias("depth"), F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("path"), "type")
+
+
+def commits(spark, d):
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return items.select(
+        F.lit(REPO).alias("repo"), _id("p", "l_partkey").alias("path"), _id("h", "l_orderkey").alias("commit_hash"), _id("c", "o_custkey").alias("author"),
+        F.col("o_orderdate").cast("timestamp").alias("committed_at"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("committed_at_text"), F.col("l_quantity").cast("long").alias("lines_added"), F.col("l_linenumber").cast("long").alias("lines_deleted"),
+    )
+
+
+CHURN = """h AS (SELECT 'p' || l_partkey AS path, l_quantity::BIGINT AS a, l_linenumber::BIGINT AS dl, 'c' || o_custkey AS author, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ch AS (SELECT path, count(*) AS commit_count, sum(a)::BIGINT AS lines_added, sum(dl)::BIGINT AS lines_deleted, count(DISTINCT author) AS contributors_count, strftime(max(o_orderdate), '%Y-%m-%d') AS last_changed FROM h GROUP BY path)"""
+
+
+@query(
+    "h_churn",
+    f"""WITH {CHURN}, f AS (SELECT 'x' || p_partkey AS file, 'p' || p_partkey AS old FROM part UNION ALL SELECT 'p' || p_partkey, 'p' || p_partkey FROM part)
+    SELECT f.file, coalesce(commit_count, 0) AS commit_count, coalesce(lines_added, 0) AS lines_added, coalesce(lines_deleted, 0) AS lines_deleted, coalesce(contributors_count, 0) AS contributors_count, last_changed FROM f LEFT JOIN ch ON ch.path = f.old""",
+)
+def h_churn(spark, d):
+    part = table(spark, d, "part")
+    files = part.select(_id("x", "p_partkey").alias("path"), _id("p", "p_partkey").alias("old_path")).unionByName(part.select(_id("p", "p_partkey").alias("path"), _id("p", "p_partkey").alias("old_path")))
+    rows = churn.churn(files.withColumns({"repo": F.lit(REPO), "change_id": F.lit("all")}), commits(spark, d))
+    return rows.select("file", "commit_count", "lines_added", "lines_deleted", "contributors_count", F.col("last_changed_text").alias("last_changed"))
+
+
+@query("h1_parse_log", "SELECT 'p' || l_partkey AS path, lpad(hex(l_orderkey), 8, '0') AS commit_hash, 'C' || o_custkey || ' <c@x.org>' AS author, sum(l_quantity::BIGINT)::BIGINT AS lines_added, sum(l_linenumber)::BIGINT AS lines_deleted FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def h1_parse_log(spark, d):
+    c = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    stat = F.concat_ws("\t", F.col("l_quantity").cast("long"), "l_linenumber", _id("p", "l_partkey"))
+    records = c.groupBy("l_partkey", "l_orderkey", "o_custkey", "o_orderdate").agg(F.array_join(F.collect_list(stat), "\n").alias("stats"))
+    head = F.concat_ws("\x1f", F.lpad(F.hex("l_orderkey"), 8, "0"), _id("C", "o_custkey"), F.lit("c@x.org"), F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00+00:00'"))
+    logs = records.groupBy("l_partkey").agg(F.array_join(F.collect_list(F.concat(F.lit("\x1e"), head, F.lit("\n\n"), "stats", F.lit("\n"))), "").alias("log_text"))
+    rows = churn.commit_files(logs.select(F.lit(REPO).alias("repo"), _id("p", "l_partkey").alias("path"), "log_text"))
+    return rows.select("path", "commit_hash", "author", "lines_added", "lines_deleted")
+
+
+SPANS = """s AS (SELECT 'p' || p_partkey AS fqn, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS rank, 'f' || (p_partkey % 100) || '.php' AS file, (p_partkey // 100) * 10 AS a, (p_partkey // 100) * 10 + p_size AS b FROM part),
+l AS (SELECT DISTINCT 'f' || (l_suppkey % 100) || '.php' AS file, l_partkey % 250 AS line FROM lineitem),
+j AS (SELECT l.file, l.line, s.fqn, row_number() OVER (PARTITION BY l.file, l.line ORDER BY s.b - s.a, s.rank, s.fqn) AS k FROM l LEFT JOIN s ON s.file = l.file AND l.line BETWEEN s.a AND s.b)"""
+
+
+@query("c1_most_specific_symbol", f"WITH {SPANS} SELECT file, line::BIGINT AS line, fqn FROM j WHERE k = 1")
+def c1_most_specific_symbol(spark, d):
+    return changed.most_specific(touched(spark, d), symbols(spark, d)).select("file", F.col("line").cast("long").alias("line"), "fqn")
+
+
+def _files(spark, d):
+    rows = touched(spark, d).groupBy("repo", "change_id", F.col("file").alias("path")).agg(F.collect_list("line").alias("added_lines"))
+    return rows.withColumns({"deleted_lines": F.slice("added_lines", 1, 0), "change_type": F.lit("modified")})
+
+
+@query("c2_changed_symbols", f"WITH {SPANS} SELECT file, fqn, array_to_string(list_sort(list(line)), ',') AS changed_lines FROM j WHERE k = 1 AND fqn IS NOT NULL GROUP BY ALL")
+def c2_changed_symbols(spark, d):
+    return changed.changed_symbols(_files(spark, d), symbols(spark, d)).select("file", "fqn", _joined("changed_lines").alias("changed_lines"))
+
+
+@query("c3_unmapped_lines", f"WITH {SPANS} SELECT 'added' AS side, file, array_to_string(list_sort(list(line)), ',') AS lines FROM j WHERE fqn IS NULL GROUP BY file")
+def c3_unmapped_lines(spark, d):
+    return changed.unmapped_lines(_files(spark, d), symbols(spark, d)).select("side", "file", _joined("lines").alias("lines"))
+
+
+@query(
+    "b_changed_files",
+    r"""SELECT doc_id, 'd' || doc_id || '.php' AS path, 'added' AS change_type, len(regexp_split_to_array(text, '\r\n|\n|\r'))::BIGINT AS n_added, (len(regexp_split_to_array(text, '\r\n|\n|\r')) * (len(regexp_split_to_array(text, '\r\n|\n|\r')) + 1) // 2)::BIGINT AS sum_added
+    FROM documents WHERE NOT regexp_matches(text, '(^|[\r\n])\+\+ ')""",
+)
+def b_changed_files(spark, d):
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|[\r\n])\+\+ "))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".php"))
+    n = F.size(F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n"))
+    plus = F.array_join(F.transform(F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
+    text = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), name, F.lit("\n@@ -0,0 +1,"), n.cast("string"), F.lit(" @@\n"), plus)
+    rows = diffs.changed_files(docs.select(F.lit(REPO).alias("repo"), F.col("doc_id").alias("change_id"), text.alias("diff_text")))
+    return rows.select(F.col("change_id").alias("doc_id"), "path", "change_type", F.size("added_lines").cast("long").alias("n_added"), F.aggregate("added_lines", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_added"))
+
+
+@query(
+    "d1_as_of_types",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)
+    SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound FROM o QUALIFY event_type = 'purchase'""",
+)
+def d1_as_of_types(spark, d):
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    key = [F.lit(REPO).alias("repo"), F.lit("all").alias("file"), F.col("user_id").cast("string").alias("scope_symbol"), "seq"]
+    sites = e.where("event_type = 'purchase'").select(*key, F.lit("v").alias("receiver_name"), "event_id")
+    bindings = e.where("event_type = 'click'").select(*key, F.lit("v").alias("var"), F.col("event_id").cast("string").alias("type"))
+    return deps.as_of_types(sites, bindings).select("event_id", F.col("receiver_type").cast("long").alias("bound"))
+
+
+@query("d5_dependencies", "SELECT 'o' || l_orderkey AS source, 's' || l_suppkey AS target, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS lines, count(*) AS occurrences FROM lineitem GROUP BY ALL")
+def d5_dependencies(spark, d):
+    sites = table(spark, d, "lineitem").select(F.lit(REPO).alias("repo"), F.lit("f").alias("file"), _id("o", "l_orderkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.lit("static_call").alias("type"), F.col("l_linenumber").alias("line"))
+    return deps.aggregate(sites).select("source", "target", _joined("lines").alias("lines"), F.col("occurrences").cast("long").alias("occurrences"))
+
+
+@query("d8_duplicate_symbols", "SELECT p_name AS fqn, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def d8_duplicate_symbols(spark, d):
+    return deps.duplicate_symbols(table(spark, d, "part").select(F.lit(REPO).alias("repo"), F.col("p_name").alias("fqn"), F.lit("f").alias("file"))).select("fqn", "n")
+
+
+def _context(spark, d) -> risk.Context:
+    e, ids = cut(edges(spark, d)), changes(spark, d)
+    entries = cut(impact.blast_depths(impact.blast_origins(ids, e)))
+    per_nation = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    history = per_nation.groupBy(_id("r", "n_regionkey").alias("change_id"), _id("n", "n_nationkey").alias("file")).agg(F.count("*").alias("commit_count")).withColumn("repo", F.lit(REPO))
+    return risk.Context(ids, e, entries, history)
+
+
+RISK = (
+    REACH
+    + """,
+fan AS (SELECT x.change_id, x.symbol, count(DISTINCT e.source) AS n, count(DISTINCT e.type) AS t FROM x JOIN e ON e.target = x.symbol AND e.source <> e.target GROUP BY ALL),
+cm AS (SELECT 'r' || n_regionkey AS change_id, 'n' || n_nationkey AS file, count(*) AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+v AS (
+    SELECT change_id, 'high_fan_in' AS code, 20 AS w, max(n) AS value, 5 AS warn, 10 AS high, NULL AS info FROM fan GROUP BY change_id
+    UNION ALL SELECT change_id, 'large_blast_radius', 20, count(*), 5, 10, NULL FROM en GROUP BY change_id
+    UNION ALL SELECT change_id, 'deep_impact', 15, max(depth), 2, 4, NULL FROM en GROUP BY change_id
+    UNION ALL SELECT change_id, 'multiple_dependency_types', 15, max(t), 3, NULL, 2 FROM fan GROUP BY change_id
+    UNION ALL SELECT change_id, 'multiple_changed_symbols', 10, count(DISTINCT symbol), 4, NULL, 2 FROM x GROUP BY change_id
+    UNION ALL SELECT change_id, 'historical_churn', 25, max(k), 25, 50, 10 FROM cm GROUP BY change_id),
+rf AS (SELECT change_id, code, w, value, CASE WHEN value >= high THEN 'high' WHEN value >= warn THEN 'warning' WHEN value >= info THEN 'info' END AS severity FROM v)"""
+)
+
+
+@query("i_risk_factors", f"WITH RECURSIVE {RISK} SELECT change_id, code, severity, value::BIGINT AS value FROM rf WHERE severity IS NOT NULL")
+def i_risk_factors(spark, d):
+    return risk.risk_factors(_context(spark, d)).select("change_id", "code", "severity", "value")
+
+
+@query(
+    "j_risk_scores",
+    f"""WITH RECURSIVE {RISK}, c AS (SELECT change_id, CASE severity WHEN 'high' THEN w WHEN 'warning' THEN (w * 75 + 50) // 100 ELSE (w * 50 + 50) // 100 END AS c FROM rf WHERE severity IS NOT NULL),
+    t AS (SELECT r.change_id, least(100, coalesce(sum(c), 0))::BIGINT AS score FROM (SELECT DISTINCT change_id FROM x) r LEFT JOIN c ON c.change_id = r.change_id GROUP BY ALL)
+    SELECT change_id, score, CASE WHEN score < 30 THEN 'low' WHEN score < 60 THEN 'medium' ELSE 'high' END AS level FROM t""",
+)
+def j_risk_scores(spark, d):
+    rows = risk.risk_scores(changes(spark, d), risk.risk_factors(_context(spark, d)))
+    return rows.select("change_id", F.col("score").cast("long").alias("score"), "level")
+
+
+@query("k_label_impact", f"WITH RECURSIVE {REACH}, a AS (SELECT DISTINCT 's' || s_suppkey AS symbol, CASE WHEN s_acctbal < 0 THEN 'queue' ELSE 'event' END AS type FROM supplier) SELECT en.change_id, a.symbol, a.type, 'blast_radius' AS context FROM en JOIN a ON a.symbol = en.impacted_symbol")
+def k_label_impact(spark, d):
+    e = cut(edges(spark, d))
+    entries = impact.blast_depths(impact.blast_origins(changes(spark, d), e))
+    marks = labels.combine(table(spark, d, "supplier").select(F.lit(REPO).alias("repo"), _id("s", "s_suppkey").alias("symbol"), F.when(F.col("s_acctbal") < 0, "queue").otherwise("event").alias("type")))
+    found = flows.affected_flows(changes(spark, d), e, graph.build_nodes(symbols(spark, d), e))
+    return labels.label_impact(marks, entries, found).select("change_id", "symbol", "type", "context")
+
+
+@query("l2_test_impact", f"WITH RECURSIVE {REACH} SELECT change_id, changed_symbol, impacted_symbol AS test_symbol, min(depth)::BIGINT AS depth, CASE WHEN min(depth) <= 1 THEN 'direct' ELSE 'indirect' END AS impact FROM ev JOIN customer ON impacted_symbol = 'c' || c_custkey GROUP BY ALL")
+def l2_test_impact(spark, d):
+    tests = table(spark, d, "customer").select(F.lit(REPO).alias("repo"), _id("c", "c_custkey").alias("id"), F.lit("method").alias("kind"), F.lit("t.php").alias("file"))
+    return affected_tests.test_impact(origins(spark, d), tests).select("change_id", "changed_symbol", "test_symbol", F.col("depth").cast("long").alias("depth"), "impact")
+
+
+@query("l8_canonical_comment", "SELECT conv_id::VARCHAR AS pr, min_by(turn, (turn, turn)) AS id, min_by(text, (turn, turn)) AS body FROM conversations WHERE contains(text, 'the') GROUP BY conv_id")
+def l8_canonical_comment(spark, d):
+    rows = table(spark, d, "conversations").select(F.lit(REPO).alias("repo"), F.col("conv_id").cast("string").alias("pr"), F.col("turn").alias("id"), F.col("text").alias("body"), F.lpad(F.col("turn").cast("string"), 12, "0").alias("created_at"))
+    return reports.canonical_comment(rows, "the").select("pr", "id", "body")
+
+
+@query("m1_ancestors", "WITH RECURSIVE p AS (SELECT p_partkey AS c, p_partkey // 2 AS up FROM part WHERE p_partkey > 0), r AS (SELECT c, up AS a, 1 AS k FROM p UNION ALL SELECT r.c, p.up, r.k + 1 FROM r JOIN p ON p.c = r.a) SELECT c::VARCHAR AS child, a::VARCHAR AS ancestor, k::BIGINT AS distance FROM r")
+def m1_ancestors(spark, d):
+    parents = table(spark, d, "part").where("p_partkey > 0").select(F.lit(REPO).alias("repo"), F.col("p_partkey").cast("string").alias("child"), F.floor(F.col("p_partkey") / 2).cast("string").alias("parent"))
+    return graph.ancestors(parents).where("distance > 0").select("child", "ancestor", F.col("distance").cast("long").alias("distance"))
+
+
+@query("m4_database_labels", "SELECT DISTINCT 'u' || user_id AS symbol, CASE event_type WHEN 'click' THEN 'database_read' ELSE 'database_write' END AS type FROM events WHERE event_type IN ('click', 'purchase')")
+def m4_database_labels(spark, d):
+    e = table(spark, d, "events")
+    chain = F.when(F.col("event_type") == "click", F.array(F.lit("where"), F.lit("get"))).when(F.col("event_type") == "purchase", F.array(F.lit("insert"))).otherwise(F.array(F.lit("where")))
+    text = F.lit(None).cast("string")
+    calls = e.select(F.lit(REPO).alias("repo"), F.lit("f.php").alias("file"), _id("u", "user_id").alias("containing_symbol"), F.lit("static").alias("kind"), F.lit("DB").alias("callee_class"), F.element_at(chain, 1).alias("name"), chain.alias("chain"), text.alias("arg_class"), text.alias("arg_method"), text.alias("arg_kind"))
+    own = symbols(spark, d).withColumns({"parent": text, "visibility": text, "attributes": F.array().cast("array<string>")})
+    none = spark.createDataFrame([], "repo string, class string, name string")
+    project = labels.Project(own, spark.createDataFrame([], "repo string, child string, parent string"), none, none, calls)
+    return labels.framework_labels(project).select("symbol", "type")
+
+
+@query("a1_source_paths", "SELECT DISTINCT substr(url, strpos(url, '/') + 2) || '.php' AS path FROM pages WHERE len(list_filter(str_split(substr(url, strpos(url, '/') + 2), '/')[:-2], lambda x: x IN ('.git', '.phpunit.cache', 'vendor', 'node_modules', 'storage'))) = 0")
+def a1_source_paths(spark, d):
+    paths = table(spark, d, "pages").select(F.lit(REPO).alias("repo"), F.concat(F.expr("substring(url, locate('/', url) + 2)"), F.lit(".php")).alias("path"))
+    return inputs.source_paths(paths).select("path")
+
+
+@query("a5_configuration", "SELECT DISTINCT event_type AS symbol, 'event' AS type FROM events WHERE event_type <> ''")
+def a5_configuration(spark, d):
+    item = F.struct(F.col("event_type").alias("symbol"), F.lit("event").alias("type"))
+    configs = table(spark, d, "events").select(F.lit(REPO).alias("repo"), F.to_json(F.struct(F.array(item).alias("semantic_annotations"))).alias("json"))
+    return inputs.configuration(configs)[0].select("symbol", "type")
+
+
+@query("l5_summary", f"WITH RECURSIVE {REACH} SELECT change_id, count(*) AS blast FROM en GROUP BY change_id")
+def l5_summary(spark, d):
+    c = _context(spark, d)
+    scores = risk.risk_scores(c.changed, risk.risk_factors(c))
+    none = spark.createDataFrame([], "repo string, change_id string, changed_symbol string, test_symbol string, test_file string, depth int, impact string")
+    return reports.summary(scores, c.changed, c.entries, none).select("change_id", "blast")
