@@ -8,9 +8,10 @@ prefixes, which gives the candidates.  The order is cut into fragments, the
 overlap of a pair is counted in each, and the counts are summed per pair.
 
 Documents with the same set are one node.  Among many that share a prefix
-n-gram only links between different components matter: a few leaders are
-compared with all others, the components are found, and what is still apart
-goes on with more leaders, until nothing is left to compare.
+n-gram only links between different components matter: first each document is
+compared with two of its largest group, then a few leaders of each group with
+all others; the components are found, and what is still apart goes on with more
+leaders, until nothing is left to compare.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
-def links(nodes: DataFrame, percent: int, first_leaders: int = 4, max_rounds: int = 40) -> DataFrame:
+def links(nodes: DataFrame, percent: int, first_leaders: int = 2, max_rounds: int = 40) -> DataFrame:
     """(a, b) links that give the components of all links between nodes (doc_id, m, prefix, segments)."""
     segments = nodes.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.f", "s.t")
     sizes = nodes.select("doc_id", "m")
@@ -168,13 +169,21 @@ def links(nodes: DataFrame, percent: int, first_leaders: int = 4, max_rounds: in
     index = index.select("gram", "doc_id", "m", (F.col("np") - F.col("pos")).alias("left"))
     common = index.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     index = cut(index.join(common, "gram"))
-    found, comp = None, None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        a, b = (sizes.select(F.col("doc_id").alias(k), F.col("m").alias("m" + k)) for k in "ab")
+        got = overlaps(pairs, segments).join(a, "a").join(b, "b")
+        return cut(got.where(f"100 * common >= {percent} * (ma + mb - common)").select("a", "b"))
+
+    # Most of a large group is found by comparing each document with two others of its most common prefix n-gram.
+    met = index.groupBy("gram").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    star = index.join(met, "gram").groupBy("doc_id").agg(F.max(F.struct("k", "gram", "low", "high")).alias("s"))
+    star = star.select("doc_id", F.explode(F.array("s.low", "s.high")).alias("other")).where("doc_id <> other")
+    found = linked(star.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
+    comp = components(found)
     for r in range(max_rounds):
-        if comp is None:
-            at = index.withColumn("comp", F.col("doc_id"))
-        else:
-            at = index.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-            at = at.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        at = index.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        at = at.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         groups = at.groupBy("gram", "comp").agg(F.count("*").alias("k"))
         groups = groups.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("big"), F.sum("k").alias("members"), F.count("*").alias("comps"))
         groups = groups.where("comps > 1").select("gram", F.col("big.comp").alias("big"), (F.col("members") - F.col("big.k")).alias("minor"))
@@ -193,15 +202,12 @@ def links(nodes: DataFrame, percent: int, first_leaders: int = 4, max_rounds: in
         rest = lambda k: f"({k}_left + ({percent} * {k}_m + 99) div 100 - 1)"
         met = met.where(f"(100 + {percent}) * least({rest('x')}, {rest('y')}) >= {percent} * (x_m + y_m)")
         pairs = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
-        got = overlaps(pairs, segments)
-        got = got.join(sizes.select(F.col("doc_id").alias("a"), F.col("m").alias("ma")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("m").alias("mb")), "b")
-        got = cut(got.where(f"100 * common >= {percent} * (ma + mb - common)").select("a", "b"))
-        found = got if found is None else found.unionByName(got)
+        found = found.unionByName(linked(pairs))
         comp = components(found)
         index = open_.where("not lead").select("gram", "doc_id", "m", "left")
     else:
         raise RuntimeError(f"candidates were left after {max_rounds} rounds")
-    return found if found is not None else sizes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    return found
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
