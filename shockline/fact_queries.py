@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shockline.functions.lineage import cut
 from shockline.functions.names import node_name
-from shockline.operators import affected_tests, churn, deps, diffs, flows, graph, impact, labels, reports
-from shockline.queries import EDGES, FLOWS, REACH, REPO, _id, _joined, changes, commits, edges, origins, query, symbols, table
+from shockline.operators import affected_tests, churn, deps, diffs, flows, graph, impact, labels, reports, risk
+from shockline.queries import EDGES, FLOWS, REACH, REPO, RISK, _history, _id, _joined, changes, commits, edges, origins, query, symbols, table
 
 
 def _no_text():
@@ -167,22 +167,23 @@ def l1_test_catalog(spark, d):
     return affected_tests.test_catalog(classes.unionByName(methods), parents).select("id", "kind")
 
 
-TESTS = f"{REACH}, ti AS (SELECT change_id, changed_symbol, impacted_symbol AS test_symbol, min(depth) AS depth FROM ev JOIN customer ON impacted_symbol = 'c' || c_custkey GROUP BY ALL), ut AS (SELECT change_id, test_symbol, min({{'depth': depth, 'changed_symbol': changed_symbol}}) AS b FROM ti GROUP BY ALL)"
+TEST_ROWS = "ti AS (SELECT change_id, changed_symbol, impacted_symbol AS test_symbol, min(depth) AS depth FROM ev JOIN customer ON impacted_symbol = 'c' || c_custkey GROUP BY ALL), ut AS (SELECT change_id, test_symbol, min({'depth': depth, 'changed_symbol': changed_symbol}) AS b FROM ti GROUP BY ALL)"
+TESTS = f"{REACH}, {TEST_ROWS}"
 
 
-def _test_impact(spark, d) -> DataFrame:
+def _test_impact(spark, d, found: DataFrame) -> DataFrame:
     tests = table(spark, d, "customer").select(F.lit(REPO).alias("repo"), _id("c", "c_custkey").alias("id"), F.lit("method").alias("kind"), F.lit("t.php").alias("file"))
-    return affected_tests.test_impact(origins(spark, d), tests)
+    return affected_tests.test_impact(found, tests)
 
 
 @query("l3_unique_tests", f"WITH RECURSIVE {TESTS} SELECT change_id, test_symbol, b.depth::BIGINT AS depth, b.changed_symbol AS changed_symbol FROM ut")
 def l3_unique_tests(spark, d):
-    return affected_tests.unique_tests(_test_impact(spark, d)).select("change_id", "test_symbol", F.col("depth").cast("long").alias("depth"), "changed_symbol")
+    return affected_tests.unique_tests(_test_impact(spark, d, origins(spark, d))).select("change_id", "test_symbol", F.col("depth").cast("long").alias("depth"), "changed_symbol")
 
 
 @query("l4_test_counts", f"WITH RECURSIVE {TESTS} SELECT change_id, count(*) FILTER (b.depth <= 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect FROM ut GROUP BY change_id")
 def l4_test_counts(spark, d):
-    return affected_tests.test_counts(_test_impact(spark, d)).select("change_id", "direct", "indirect")
+    return affected_tests.test_counts(_test_impact(spark, d, origins(spark, d))).select("change_id", "direct", "indirect")
 
 
 @query(
@@ -202,6 +203,64 @@ def l7_change_digest(spark, d):
     return reports.change_digest(ids, entries, found).select("change_id", "digest")
 
 
+
+def _listed(l: str, limit: int, more: str) -> str:
+    return f"CASE WHEN len({l}) > {limit} THEN list_append({l}[:{limit}], '{more}' || (len({l}) - {limit}) || ' more') ELSE {l} END"
+
+
+def _section(title: str, l: str) -> str:
+    return f"chr(10) || '{title}' || chr(10) || repeat('─', 24) || chr(10) || array_to_string(coalesce({l}, ['None']), chr(10))"
+
+
+def _counted(n: str, one: str) -> str:
+    return f"{n} || CASE {n} WHEN 1 THEN ' {one}' ELSE ' {one}s' END"
+
+
+@query(
+    "l6_comment",
+    f"""WITH RECURSIVE {RISK}, {TEST_ROWS},
+    co AS (SELECT change_id, CASE severity WHEN 'high' THEN w WHEN 'warning' THEN (w * 75 + 50) // 100 ELSE (w * 50 + 50) // 100 END AS c FROM rf WHERE severity IS NOT NULL),
+    sc AS (SELECT change_id, score, CASE WHEN score < 30 THEN 'Low' WHEN score < 60 THEN 'Medium' ELSE 'High' END AS level
+        FROM (SELECT r.change_id, least(100, coalesce(sum(c), 0))::BIGINT AS score FROM (SELECT DISTINCT change_id FROM x) r LEFT JOIN co ON co.change_id = r.change_id GROUP BY ALL)),
+    s1 AS (SELECT change_id, list(symbol ORDER BY symbol) AS l1 FROM x GROUP BY change_id),
+    s2 AS (SELECT change_id, list('Depth ' || depth || ': ' || {_counted("n", "symbol")} ORDER BY depth) AS l2 FROM (SELECT change_id, depth, count(*) AS n FROM en GROUP BY ALL) GROUP BY change_id),
+    s3 AS (SELECT DISTINCT 'r' || n_regionkey AS change_id, ['→ r' || n_regionkey] AS l3 FROM nation),
+    s4 AS (SELECT change_id, list_filter([CASE WHEN d > 0 THEN '✓ ' || {_counted("d", "direct test")} END, CASE WHEN i > 0 THEN '⚠ ' || {_counted("i", "indirect test")} END], lambda y: y IS NOT NULL) AS l4
+        FROM (SELECT change_id, count(*) FILTER (b.depth <= 1) AS d, count(*) FILTER (b.depth > 1) AS i FROM ut GROUP BY change_id)),
+    s5 AS (SELECT change_id, list(file || chr(10) || {_counted("k", "commit")} ORDER BY k DESC, file) AS h FROM cm WHERE k >= 10 GROUP BY change_id),
+    s6 AS (SELECT change_id, list(title ORDER BY rank) AS l6 FROM rf JOIN (VALUES ('high_fan_in', 1, 'High fan-in'), ('large_blast_radius', 2, 'Large blast radius'), ('deep_impact', 3, 'Deep dependency chain'),
+        ('multiple_dependency_types', 4, 'Multiple dependency types'), ('multiple_changed_symbols', 5, 'Multiple changed symbols')) c(code, rank, title) ON c.code = rf.code WHERE severity IS NOT NULL GROUP BY change_id)
+    SELECT change_id, array_to_string(['{reports.MARKER}', 'Code impact analysis' || chr(10), 'Risk: ' || score || ' / 100 (' || level || ')',
+        {_section("Changed symbols", _listed("l1", 8, "… and "))}, {_section("Blast radius", "l2")}, {_section("Affected flows", "l3")}, {_section("Test impact", "l4")},
+        {_section("Historical churn", "[array_to_string(h[:5], chr(10) || chr(10)) || CASE WHEN len(h) > 5 THEN chr(10) || '… and ' || (len(h) - 5) || ' more' ELSE '' END]")}, {_section("⚠ Risk factors", "l6")},
+        chr(10) || 'See full analysis in the workflow artifact.'], chr(10)) AS comment
+    FROM sc LEFT JOIN s1 USING (change_id) LEFT JOIN s2 USING (change_id) LEFT JOIN s3 USING (change_id) LEFT JOIN s4 USING (change_id) LEFT JOIN s5 USING (change_id) LEFT JOIN s6 USING (change_id)""",
+)
+def l6_comment(spark, d):
+    e, ids = cut(edges(spark, d)), changes(spark, d)
+    reached = cut(impact.blast_origins(ids, e))
+    c = risk.Context(ids, e, cut(impact.blast_depths(reached)), _history(spark, d))
+    factors = cut(risk.risk_factors(c))
+    typed = ids.withColumns({"type": F.lit("class"), "file": F.lit("f.php"), "start_line": F.lit(1)})
+    found = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e))
+    return reports.comment(risk.risk_scores(ids, factors), typed, c.entries, found, _test_impact(spark, d, reached), c.churn, factors).select("change_id", "comment")
+
+
+@query(
+    "l7_test_digest",
+    f"""WITH RECURSIVE {TESTS},
+    b AS (SELECT change_id, list(impacted_symbol || ' (depth ' || depth || ')' ORDER BY depth, impacted_symbol) AS l FROM en GROUP BY change_id),
+    t AS (SELECT change_id, list(test_symbol || ' (' || CASE WHEN depth <= 1 THEN 'direct' ELSE 'indirect' END || ', from ' || changed_symbol || ')' ORDER BY depth, test_symbol, changed_symbol) AS l FROM ti GROUP BY change_id),
+    j AS (SELECT change_id, CASE WHEN len(b.l) >= 20 THEN list_append(list_prepend('symbols: ' || len(b.l), b.l[:19]), 'and 1 more') WHEN b.l IS NULL THEN ['none'] ELSE list_prepend('symbols: ' || len(b.l), b.l) END AS b, coalesce(t.l, ['none']) AS t
+        FROM (SELECT DISTINCT change_id FROM x) LEFT JOIN b USING (change_id) LEFT JOIN t USING (change_id))
+    SELECT change_id, 'Blast radius:' || chr(10) || '  ' || array_to_string(b, chr(10) || '  ') || chr(10) || chr(10) || 'Affected tests:' || chr(10) || '  ' || array_to_string({_listed("t", 20, "and ")}, chr(10) || '  ') AS digest FROM j""",
+)
+def l7_test_digest(spark, d):
+    found = cut(origins(spark, d))
+    rows = changes(spark, d).select("repo", "change_id").distinct()
+    return reports.test_digest(rows, impact.blast_depths(found), _test_impact(spark, d, found)).select("change_id", "digest")
+
+
 @query(
     "a6_json_report",
     f"""WITH {EDGES}, i AS (SELECT x.change_id, x.symbol AS changed_symbol, e.source AS impacted_symbol, e.type AS dependency_type FROM x JOIN e ON e.target = x.symbol WHERE e.source <> e.target),

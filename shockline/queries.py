@@ -295,12 +295,15 @@ def d8_duplicate_symbols(spark, d):
     return deps.duplicate_symbols(table(spark, d, "part").select(F.lit(REPO).alias("repo"), F.col("p_name").alias("fqn"), F.lit("f").alias("file"))).select("fqn", "n")
 
 
+def _history(spark, d) -> DataFrame:
+    per_nation = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return per_nation.groupBy(_id("r", "n_regionkey").alias("change_id"), _id("n", "n_nationkey").alias("file")).agg(F.count("*").alias("commit_count")).withColumn("repo", F.lit(REPO))
+
+
 def _context(spark, d) -> risk.Context:
     e, ids = cut(edges(spark, d)), changes(spark, d)
     entries = cut(impact.blast_depths(impact.blast_origins(ids, e)))
-    per_nation = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    history = per_nation.groupBy(_id("r", "n_regionkey").alias("change_id"), _id("n", "n_nationkey").alias("file")).agg(F.count("*").alias("commit_count")).withColumn("repo", F.lit(REPO))
-    return risk.Context(ids, e, entries, history)
+    return risk.Context(ids, e, entries, _history(spark, d))
 
 
 RISK = (
