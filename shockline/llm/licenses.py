@@ -3,11 +3,14 @@
 A sparse logistic regression over word uni- and bigrams gives each paragraph a
 licence family or ``unknown``; its probabilities are calibrated with a
 temperature on held-out paragraphs.  A prediction counts if the paragraph's
-words also match a template of the family.
+words also match a template of the family.  Paragraphs are lines, and windows
+of about a template's length, which find notices that are wrapped over lines or
+stand within a longer one; comment marks around lines are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockline.llm.shared import crc_of
-from shockline.llm.text import PLACE, mix, slices, words
+from shockline.llm.text import PLACE, Run, Words, mix, slices, words
 
 #: Wording of public licence notices and of typical paragraphs of the licences, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -94,23 +97,40 @@ WIDTH = 1 << 13
 #: Marks around words that don't belong to them; characters outside of words are white space here.
 TRIM = np.arange(256, dtype=np.uint8)
 TRIM[[*b"\"'(),;:<>[]{}!?"]] = 32
+#: Bytes that frame the lines of a comment.
+MARK = np.zeros(256, dtype=bool)
+MARK[[*b" \t\r\v\f\"'(),;:<>[]{}!?#*/%|=~-"]] = True
 
 
 @dataclass
 class Paragraphs:
-    """Lines with a word; first[i]: document i's first.  begin, end: bytes; tokens: edges in words."""
+    """Lines with a word; first[i]: document i's first.  begin, end: bytes; tokens: edges in words; words: all of the run."""
 
     begin: np.ndarray
     end: np.ndarray
     tokens: np.ndarray
     first: np.ndarray
-    words: np.ndarray
-
-
-def paragraphs(run) -> Paragraphs:
-    """Each line with a word is a paragraph: licence notices stand on lines of their own or wrap within few."""
-    plain = type(run)(run.first, TRIM[run.data], run.offsets)
-    w = words(plain, lower=True)
+    words: Words
+
+
+def plain(run: Run) -> Run:
+    """The run without marks around words and without the comment marks that begin and end its lines."""
+    data = TRIM[run.data]
+    if len(data):
+        body = ~MARK[run.data]
+        begin = np.unique(np.concatenate([[0], np.flatnonzero(run.data == 10) + 1, run.offsets]))
+        begin = begin[begin < len(data)]
+        before = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(body & (run.data != 10), out=before[1:])
+        lens = np.diff(np.append(begin, len(data)))
+        opens, closes = np.repeat(before[begin], lens), np.repeat(before[np.append(begin[1:], len(data))], lens)
+        data[((before[1:] == opens) | (before[:-1] == closes)) & (data != 10)] = 32
+    return Run(run.first, data, run.offsets)
+
+
+def paragraphs(run: Run) -> Paragraphs:
+    """Each line with a word besides comment marks."""
+    w = words(plain(run), lower=True)
     data = run.data
     cuts = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, run.offsets]))
     cuts = cuts[cuts <= len(data)]
@@ -118,7 +138,7 @@ def paragraphs(run) -> Paragraphs:
     a, b = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
     solid = b > a
     begin, end = begin[solid], end[solid]
-    return Paragraphs(begin, end, np.append(a[solid], len(w.start)), np.searchsorted(begin, run.offsets), w.hash)
+    return Paragraphs(begin, end, np.append(a[solid], len(w.start)), np.searchsorted(begin, run.offsets), w)
 
 
 def bags(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +178,7 @@ def token_hashes(text: str) -> np.ndarray:
     run = next(slices(pa.array([text])), None)
     if run is None:
         return np.zeros(0, np.uint64)
-    return words(type(run)(0, TRIM[run.data], run.offsets), lower=True).hash
+    return words(plain(run), lower=True).hash
 
 
 def fit(negatives: list[np.ndarray], seed: int = 5, copies: int = 30, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Classifier:
@@ -228,48 +248,164 @@ def train(docs: DataFrame, sample: int = 400, per_document: int = 20) -> Classif
     return fit([token_hashes(line) for line in lines])
 
 
-def template_sets() -> dict[str, list[set[int]]]:
-    return {f: [set(token_hashes(t).tolist()) for t in texts] for f, texts in TEMPLATES.items()}
+@dataclass
+class Template:
+    """words in order; has[v]: whether it holds word v of the vocabulary; need: distinct words that confirm; reach: a window's length."""
+
+    family: str
+    words: list[int]
+    has: np.ndarray
+    need: int
+    reach: int
+
+    def __post_init__(self) -> None:
+        self.set = set(self.words)
+
 
+def templates(least: float) -> tuple[np.ndarray, list[Template]]:
+    """The sorted vocabulary of all templates, and the templates; a window holds a quarter more words than a template, and two."""
+    texts = [(f, token_hashes(t)) for f, found in TEMPLATES.items() for t in found]
+    vocabulary = np.unique(np.concatenate([h for _, h in texts]))
+    return vocabulary, [Template(f, h.tolist(), np.isin(vocabulary, h), math.ceil(least * len(set(h.tolist())) - 1e-9), len(h) + len(h) // 4 + 2) for f, h in texts]
 
-def confirmed(h: np.ndarray, sets: list[set[int]], least: float) -> float:
-    """The largest share of a template's distinct words that a paragraph holds; 0 below ``least``."""
+
+def confirmed(h: np.ndarray, found: list[Template], least: float) -> tuple[float, float, int]:
+    """The largest share of a template's distinct words that a paragraph holds; and for the template with the largest
+    product of share and words held, the product and its reach.  Zeros if no share is ``least``."""
     own = set(h.tolist())
-    best = max((len(own & t) / len(t) for t in sets), default=0.0)
-    return best if best >= least else 0.0
+    held = [(len(own & t.set) / len(t.set), len(own & t.set), t.reach) for t in found]
+    held = [x for x in held if x[0] >= least]
+    return max((x for x, _, _ in held), default=0.0), *max(((x * n, reach) for x, n, reach in held), default=(0.0, 0))
+
+
+def windows(h: np.ndarray, floor: np.ndarray, vocabulary: np.ndarray, found: list[Template]) -> list[tuple[int, int]]:
+    """Spans of words that may hold a template, the closest around its words.
+
+    floor[k]: the first word that may be in a span with word k; words in none have len(h).  Within a template's
+    reach from each of its words on, distinct ones are counted: a word counts for the starts after its last place.
+    """
+    v = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    at = np.flatnonzero((vocabulary[v] == h) & (floor < len(h)))
+    v = v[at]
+    order = np.lexsort((at, v))
+    last = np.full(len(at), -1)
+    same = v[order][1:] == v[order][:-1]
+    last[order[1:][same]] = at[order[:-1][same]]
+    last = np.maximum(last, floor[at] - 1)
+    spans = []
+    for t in found:
+        few = np.flatnonzero(t.has[v])
+        if len(few) < t.need:
+            continue
+        p, ids = at[few], v[few]
+        since = np.searchsorted(p, np.maximum(last[few], p - t.reach), side="right")
+        count = np.cumsum(np.bincount(since, minlength=len(p))) - np.arange(len(p))
+        good = np.flatnonzero(count >= t.need)
+        k = 0
+        while k < len(good):
+            near = good[k : int(np.searchsorted(good, np.searchsorted(p, p[good[k]] + t.reach)))]
+            near = near[floor[p[near]] == floor[p[good[k]]]]
+            a = int(near[count[near].argmax()])
+            most, seen, b = int(count[a]), set(), a
+            while len(seen) < most:
+                seen.add(int(ids[b]))
+                b += 1
+            seen, a = set(), b
+            while len(seen) < most:
+                a -= 1
+                seen.add(int(ids[a]))
+            spans.append(extended(h, floor, int(p[a]), int(p[b - 1]) + 1, t.words))
+            k = max(k + 1, int(np.searchsorted(good, b)))
+    return sorted(set(spans))
+
+
+def extended(h: np.ndarray, floor: np.ndarray, a: int, b: int, text: list[int]) -> tuple[int, int]:
+    """The span with the words before and after it that the template has there too."""
+
+    def steps(k: int, move: int) -> int:
+        most = 0
+        for j in (j for j, word in enumerate(text) if word == int(h[k])):
+            n = 1
+            while 0 <= k + n * move < len(h) and 0 <= j + n * move < len(text) and floor[k + n * move] == floor[k] and int(h[k + n * move]) == text[j + n * move]:
+                n += 1
+            most = max(most, n - 1)
+        return most
+
+    return a - steps(a, -1), b + steps(b - 1, 1)
 
 
 PARAGRAPHS = "doc_id long, paragraph int, start long, end long, family string, probability double, template_share double"
 
 
-def scan(docs: DataFrame, model: Classifier, least_probability: float = 0.5, least_share: float = 0.6) -> DataFrame:
-    """One row per paragraph with a confirmed licence family (columns PARAGRAPHS; start and end in code points).
+def notices(found: Paragraphs, model: Classifier, vocabulary: np.ndarray, known: list[Template], least_probability: float, least_share: float) -> list[tuple]:
+    """(first word, end, line or -1, family, probability, share) of the notices of a run; no two share a word.
 
-    A paragraph is a line with a word, of the whole text.  Null, empty and
-    blank texts have none; repeated rows and null ids give rows of their own;
-    among equal probabilities the first family by name wins; an empty table
-    gives no rows.
+    Of lines and windows that do, the one that fits a template best stays (share times words held), then a line of
+    no more than the template's reach, then the shorter.  The words left are searched again until no more is found.
+    """
+    h = found.words.hash
+    by_family = {f: [t for t in known if t.family == f] for f in TEMPLATES}
+    doc = np.repeat(found.words.first[:-1], np.diff(found.words.first))
+    floor, taken = doc.copy(), []
+
+    def likely(words: np.ndarray, edges: np.ndarray, starts: np.ndarray, line: bool) -> Iterator[tuple]:
+        p = model.probabilities(words, edges)
+        best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
+        for k in np.flatnonzero((best > 0) & (p[np.arange(len(p)), best] >= least_probability)).tolist():
+            family, own, n = model.families[best[k]], words[edges[k] : edges[k + 1]], int(edges[k + 1] - edges[k])
+            share, held, reach = confirmed(own, by_family[family], least_share)
+            if share:
+                yield -held, not line or n > reach, n, int(starts[k]), int(starts[k]) + n, k if line else -1, family, float(p[k, best[k]]), share
+
+    chosen = list(likely(h, found.tokens, found.tokens, True))
+    while True:
+        spans = windows(h, floor, vocabulary, known)
+        edges = np.zeros(len(spans) + 1, np.int64)
+        np.cumsum([b - a for a, b in spans], out=edges[1:])
+        if spans:
+            chosen += likely(np.concatenate([h[a:b] for a, b in spans]), edges, np.array([a for a, _ in spans]), False)
+        new = []
+        for *_, a, b, line, family, probability, share in sorted(chosen):
+            if floor[a] < len(h) and (floor[a:b] == floor[a]).all():
+                floor[a:b] = len(h)
+                new.append((a, b, line, family, probability, share))
+        if not new:
+            return sorted(taken)
+        taken += new
+        # Only documents with a new notice are searched again, and no span may cross one.
+        after = np.append(doc, len(h))
+        for _, b, *_ in taken:
+            after[b] = b
+        again = np.isin(doc, doc[[a for a, *_ in new]]) & (floor < len(h))
+        floor, chosen = np.where(again, np.maximum.accumulate(after)[:-1], len(h)), []
+
+
+def scan(docs: DataFrame, model: Classifier, least_probability: float = 0.5, least_share: float = 0.6) -> DataFrame:
+    """One row per notice of a confirmed licence family (columns PARAGRAPHS; start and end in code points).
+
+    A notice is a line, or words of about a template's length that run over
+    lines or stand within one, anywhere in the text; no two overlap.
+    ``paragraph`` is the place of its first line among the document's lines
+    with a word.  Null, empty and blank texts have none; repeated rows and null
+    ids give rows of their own; among equal probabilities the first family by
+    name wins; an empty table gives no rows.
     """
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
     names = [c.split()[0] for c in PARAGRAPHS.split(", ")]
-    sets = template_sets()
+    vocabulary, known = templates(least_share)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for run in slices(batch.column(1)):
                 found = paragraphs(run)
-                p = model.probabilities(found.words, found.tokens)
-                best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-                for k in np.flatnonzero((best > 0) & (p[np.arange(len(p)), best] >= least_probability)).tolist():
-                    h = found.words[found.tokens[k] : found.tokens[k + 1]]
-                    share = confirmed(h, sets[model.families[best[k]]], least_share)
-                    if not share:
-                        continue
+                for a, b, line, family, probability, share in notices(found, model, vocabulary, known, least_probability, least_share):
+                    k = int(np.searchsorted(found.tokens, a, side="right")) - 1
                     i = int(np.searchsorted(found.first, k, side="right")) - 1
-                    head = run.data[run.offsets[i] : found.begin[k]].tobytes().decode()
-                    body = run.data[found.begin[k] : found.end[k]].tobytes().decode().rstrip("\n")
-                    rows.append((ids[run.first + i], k - int(found.first[i]), len(head), len(head) + len(body), model.families[best[k]], float(p[k, best[k]]), share))
+                    begin, end = (found.begin[k], found.end[k]) if line >= 0 else (found.words.start[a], found.words.end[b - 1])
+                    head = run.data[run.offsets[i] : begin].tobytes().decode()
+                    body = run.data[begin:end].tobytes().decode().rstrip("\n")
+                    rows.append((ids[run.first + i], k - int(found.first[i]), len(head), len(head) + len(body), family, probability, share))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -277,7 +413,7 @@ def scan(docs: DataFrame, model: Classifier, least_probability: float = 0.5, lea
 
 
 def digest(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """Per document id: n_licenses (confirmed paragraphs), families (joined, in order of name), best family and its probability."""
+    """Per document id: n_licenses (notices), families (joined, in order of name), best family and its probability."""
     found = scan(docs, model or train(docs))
     per = found.groupBy("doc_id").agg(
         F.count("*").alias("n_licenses"),

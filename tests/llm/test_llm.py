@@ -3,6 +3,7 @@ import io
 import math
 import random
 import re
+import textwrap
 import zipfile
 import zlib
 from collections import Counter
@@ -182,6 +183,31 @@ def test_licenses(spark, docs, empty):
     assert licenses.digest(empty, model).count() == 0
 
 
+def test_licenses_wrapped_and_within_long_lines(spark, docs):
+    model = licenses.train(docs)
+    notices = [(f, t) for f, found in licenses.TEMPLATES.items() for t in found]
+    rows, want = [], {}
+    for k, (family, text) in enumerate(notices):
+        lines = textwrap.wrap(text, 72, break_long_words=False, break_on_hyphens=False)
+        narrow = textwrap.wrap(text, 30, break_long_words=False, break_on_hyphens=False)
+        forms = ["\n".join(lines), "/*\n" + "".join(f" * {x}\n" for x in lines) + " */", "\n".join(f"#{x}" for x in narrow), f"{prose(k, 150)} {text} {prose(k + 900, 150)}", f"{prose(k)}\n\n" + "\r\n".join(f"// {x}" for x in narrow) + f"\r\n{prose(k + 1)}"]
+        for form in forms:
+            want[len(rows)] = family
+            rows.append((len(rows), form))
+    got = {r.doc_id: (r.families, r.n_licenses) for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {k: (rows[k][1], *x) for k, x in got.items() if x != (want[k], 1)} == {}
+
+
+def test_licenses_side_by_side(spark, docs):
+    model = licenses.train(docs)
+    gpl, mit, cc = licenses.TEMPLATES["gpl"][0], licenses.TEMPLATES["mit"][2], licenses.TEMPLATES["cc-by"][1]
+    wrapped = "é " + "\n# ".join(textwrap.wrap(gpl, 60))
+    rows = [(1, f"{wrapped}\n\n{wrapped}\n{mit}\n"), (2, f"{mit} {cc} {prose(1)}"), (3, "\n".join(random.Random(1).sample(prose(3, 200).split() + gpl.split(), 240))), (4, "# *\n//\n"), (5, gpl[: len(gpl) // 3]), (6, f"one of this.\n{mit}")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.family, rows[r.doc_id - 1][1][r.start : r.end]) for r in found] == [(1, "gpl", wrapped[2:]), (1, "gpl", wrapped[2:]), (1, "mit", mit), (2, "mit", mit), (2, "cc-by", cc), (6, "mit", mit)]
+    assert [r.paragraph for r in found if r.doc_id == 1] == [0, len(textwrap.wrap(gpl, 60)), 2 * len(textwrap.wrap(gpl, 60))]
+
+
 def test_language(spark, empty):
     words = {"aa": "lo mi ra tu", "bb": "xyz wqk vvj kkz", "cc": "ñandú año niña señor", "dd": "über straße grün öl"}
     rng = random.Random(2)
