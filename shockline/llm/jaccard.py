@@ -7,7 +7,7 @@ done.  Two documents at the threshold share one of the rarest n-grams of their
 prefixes, which gives the candidates.  The order is cut into fragments, the
 overlap of a pair is counted in each, and the counts are summed per pair.
 
-Documents with the same set are one node.  Among many that share a prefix
+Documents with the same set are one node, held by one row.  Among many that share a prefix
 n-gram only links between different components matter: first each document is
 compared with two of its largest group, then a few leaders of each group with
 all others; the components are found, and what is still apart goes on with more
@@ -60,7 +60,7 @@ def count_fragment(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": part["block"], "fragment": part["fragment"], "n": np.diff(edges), "levels": packed})
 
 
-SIGNS = "doc_id long, m long, set_hash string"
+SIGNS = "doc_id long, m long, set_hash string, block long"
 
 
 def sign(s: np.ndarray) -> str:
@@ -69,28 +69,28 @@ def sign(s: np.ndarray) -> str:
     return f"{len(s):x}-{int(one.sum(dtype=np.uint64)):016x}{int(two.sum(dtype=np.uint64)):016x}"
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """SIGNS of every row: the size of its set and the set's hash."""
+def signatures(blocks: DataFrame, n: int) -> DataFrame:
+    """SIGNS of every row: the size of its set, the set's hash, and the block that holds it."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in slices(batch.column(1)):
-                w = words(run, lower=True)
-                sets = [shingles(w.hash[a:b], n) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                cols = [batch.column(0).slice(run.first, len(run)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign(s) for s in sets])]
+            for row in batch.to_pylist():
+                flat, edges = block_sets(row["offsets"], row["size"], row["data"], n)
+                signs = [sign(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(signs, pa.string()), pa.array([row["block"]] * len(signs), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SIGNS.split(", ")])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(mapped, SIGNS))
+    return cut(blocks.mapInArrow(mapped, SIGNS))
 
 
 NODES = "doc_id long, m long, prefix array<long>, segments array<struct<f:int,t:array<long>>>"
 
 
-def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, per_fragment: int = 1_500_000) -> DataFrame:
-    """NODES of the documents in reps (rep, set_hash) that may have a partner: the n-grams of the prefix that occur
-    elsewhere and, by fragments of the global order, all n-grams that occur elsewhere."""
-    blocks = write_blocks(docs)
-    spark = docs.sparkSession
+def profiles(blocks: DataFrame, reps: DataFrame, n: int, percent: int, per_fragment: int = 1_500_000) -> DataFrame:
+    """NODES of the sets in reps (node, set_hash, block) that may have a partner, each of the one row in that block;
+    doc_id is the node.  The n-grams of the prefix that occur elsewhere and, by fragments of the global order, all
+    n-grams that occur elsewhere."""
+    spark = blocks.sparkSession
     total = blocks.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * per_fragment)))
 
@@ -114,8 +114,7 @@ def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, per_fragmen
     spread = blocks.mapInArrow(grams, "fragment long, block long, keys binary, counts binary")
     levels = spread.groupBy("fragment").applyInPandas(count_fragment, "block long, fragment long, n long, levels binary")
     per_block = levels.groupBy("block").agg(F.collect_list(F.struct("fragment", "n", "levels")).alias("levels"))
-    inside = blocks.select("block", F.explode("doc_ids").alias("rep")).join(reps, "rep")
-    wanted = inside.groupBy("block").agg(F.collect_set(F.struct("rep", "set_hash")).alias("wanted"))
+    wanted = reps.groupBy("block").agg(F.collect_list(F.struct("node", "set_hash")).alias("wanted"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,15 +124,13 @@ def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, per_fragmen
                 level = np.concatenate([np.frombuffer(pa.decompress(p["levels"], decompressed_size=p["n"], codec="zstd", asbytes=True), np.uint8) for p in parts] or [np.zeros(0, np.uint8)])
                 _, inverse = np.unique(keys_of(flat, fragments), return_inverse=True)
                 level = level[inverse]
-                wanted = {(r["rep"], r["set_hash"]) for r in row["wanted"]}
+                wanted = {r["set_hash"]: r["node"] for r in row["wanted"]}
                 rows: list[tuple] = []
-                for i, doc_id in enumerate(row["doc_ids"]):
-                    a, b = int(edges[i]), int(edges[i + 1])
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     m, lv = b - a, level[a:b]
                     least = -(-percent * m // 100)
-                    if not m or (lv > 0).sum() < least or (key := (doc_id, sign(flat[a:b]))) not in wanted:
+                    if not m or (lv > 0).sum() < least or (node := wanted.pop(sign(flat[a:b]), None)) is None:
                         continue
-                    wanted.remove(key)
                     order = np.lexsort((flat[a:b], lv))
                     tokens, lv = flat[a:b][order], lv[order]
                     rare = int((lv == 0).sum())
@@ -142,13 +139,13 @@ def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, per_fragmen
                     f = lv.astype(np.int64) * 4 + (tokens >> np.uint64(62)).astype(np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(f)) + 1).tolist(), len(f)]
                     segments = [{"f": int(f[c]), "t": tokens[c:d].view(np.int64).tolist()} for c, d in zip(cuts[:-1], cuts[1:], strict=True)]
-                    rows.append((doc_id, m, prefix, segments))
+                    rows.append((node, m, prefix, segments))
                 segment = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.list_(pa.int64()))]))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), segment]
                 for k in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), types, strict=True)], [c.split()[0] for c in NODES.split(", ", 3)])
 
-    joined = blocks.join(per_block.join(wanted, "block"), "block").select("doc_ids", "offsets", "size", "data", "levels", "wanted")
+    joined = blocks.join(per_block.join(wanted, "block"), "block").select("offsets", "size", "data", "levels", "wanted")
     return cut(joined.mapInArrow(place, NODES))
 
 
@@ -221,12 +218,20 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     no component (null), and rows of one id are one document.  An empty table
     gives no rows.  Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
-    every = signatures(docs, n)
+    blocks = write_blocks(docs)
+    every = signatures(blocks, n)
     some = every.where("m > 0 and doc_id is not null")
-    reps = cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    nodes = profiles(docs, reps, n, percent)
-    comp = components(links(nodes, percent)).select(F.col("id").alias("rep"), "component")
-    named = reps.join(comp, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    # A node is a set, taken from one row: of the smallest doc_id, in its first block.
+    reps = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "block")).alias("r")).select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.block").alias("block"))
+    reps = cut(reps.withColumn("node", F.xxhash64("set_hash")))
+    # Rows of one id are one document, also where their texts differ.
+    ids = some.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
+    mixed = some.join(ids, "doc_id").select("doc_id", F.xxhash64("set_hash").alias("b")).distinct()
+    same = mixed.join(mixed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
+    comp = components(links(profiles(blocks, reps, n, percent), percent).unionByName(same)).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    of = reps.select("set_hash", "node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("rep").alias("component"))
+    named = of.join(least, "root").select("set_hash", "component")
     out = every.select("doc_id", "m", "set_hash").join(named, "set_hash", "left")
     component = F.when((F.col("m") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("m").alias("n_shingles"), component.alias("component_id"))

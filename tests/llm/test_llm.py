@@ -157,6 +157,23 @@ def test_jaccard(docs, empty, texts):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_of_repeated_rows_in_two_blocks(spark):
+    base = [f"w{k}" for k in range(204)]
+    shares = base[:94] + [f"v{k}" for k in range(110)]  # 90 of 200 shingles: Jaccard 0.29
+    other = [f"u{k}" for k in range(100)]
+    near = [f"w{k}" for k in range(200)] + ["x"] * 4
+    # What else they hold is more common, so that a shared passage gives the prefixes.
+    rows = [(30 + k, w) for k in range(6) for w in [base[90:]]] + [(40 + k, w) for k in range(6) for w in [shares[90:]]]
+    rows += [(5, base), (7, shares), (5, base), (7, shares), (8, shares), (9, other), (3, near), (20, other), (20, base[:150] + ["y"] * 150), (1, ["y"] * 3), (20, other)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, " ".join(w)) for i, w in rows], len(rows)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for _, w in rows]
+    pairs = [(i, j) for (i, _), a in zip(rows, sets, strict=True) for (j, _), b in zip(rows, sets, strict=True) if 100 * len(a & b) >= 80 * len(a | b)]
+    comp = plain_components(pairs, {i for i, _ in rows})
+    assert {i: comp[i] for i in (1, 3, 5, 7, 8, 9, 20, 35, 45)} == {1: 1, 3: 3, 5: 3, 7: 7, 8: 7, 9: 9, 20: 9, 35: 30, 45: 40}
+    got = jaccard.join(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), comp[i]) for (i, _), s in zip(rows, sets, strict=True))
+
+
 def test_jaccard_of_many_near_copies(spark):
     rng = random.Random(9)
     words = prose(11, 60).split()
