@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shockline.llm.shared import cut
 from shockline.llm.text import Run, slices
@@ -19,8 +20,20 @@ from shockline.llm.text import Run, slices
 COLUMNS = "block long, doc_ids array<long>, offsets binary, size long, data binary"
 
 
-def write_blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """block, doc_ids, offsets, size, data (compressed texts side by side) of about ``block_bytes`` each."""
+def block_size(text_bytes: int, least: int = 2 << 20, most: int = 16 << 20) -> int:
+    """Bytes of a block: ``least`` up to 1 GB of texts, and beyond that with the root of their size up to ``most``.
+
+    Blocks are looked up in fragments whose number grows with the texts; larger blocks keep a fragment's share of a
+    block from becoming a handful of n-grams.  ``most`` bounds a task's memory.
+    """
+    return int(min(most, least * max(1.0, text_bytes / (1 << 30)) ** 0.5))
+
+
+def write_blocks(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """block, doc_ids, offsets, size, data (compressed texts side by side) of about ``block_bytes`` each, by default
+    ``block_size`` of all texts."""
+    if block_bytes is None:
+        block_bytes = block_size(docs.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32

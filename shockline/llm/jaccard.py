@@ -16,6 +16,7 @@ leaders, until nothing is left to compare.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ def count_fragment(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": part["block"], "fragment": part["fragment"], "n": np.diff(edges), "levels": packed})
 
 
-SIGNS = "doc_id long, m long, set_hash string, block long"
+SIGNS = "doc_id long, text_hash string, m long, set_hash string, block long"
 
 
 def sign(s: np.ndarray) -> str:
@@ -70,14 +71,15 @@ def sign(s: np.ndarray) -> str:
 
 
 def signatures(blocks: DataFrame, n: int) -> DataFrame:
-    """SIGNS of every row: the size of its set, the set's hash, and the block that holds it."""
+    """SIGNS of every row: the MD5 of its text, the size of its set, the set's hash, and the block that holds it."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 flat, edges = block_sets(row["offsets"], row["size"], row["data"], n)
                 signs = [sign(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(signs, pa.string()), pa.array([row["block"]] * len(signs), pa.int64())]
+                texts = [hashlib.md5(run.data[a:b].tobytes()).hexdigest() for run in open_block(row["offsets"], row["size"], row["data"]) for a, b in zip(run.offsets[:-1], run.offsets[1:], strict=True)]
+                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(texts, pa.string()), pa.array(np.diff(edges), pa.int64()), pa.array(signs, pa.string()), pa.array([row["block"]] * len(signs), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SIGNS.split(", ")])
 
     return cut(blocks.mapInArrow(mapped, SIGNS))
@@ -207,6 +209,22 @@ def links(nodes: DataFrame, percent: int, first_leaders: int = 2, max_rounds: in
     return found
 
 
+def classes(every: DataFrame, blocks: DataFrame, n: int, percent: int, merge_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """reps (set_hash, node, rep: the smallest doc_id, block) of the sets that aren't empty, and (node, root) of those
+    linked with another; with ``merge_ids`` sets of one doc_id count as linked."""
+    some = every.where("m > 0 and doc_id is not null")
+    # A node is a set, taken from one row: of the smallest doc_id, in its first block.
+    reps = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "block")).alias("r")).select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.block").alias("block"))
+    reps = cut(reps.withColumn("node", F.xxhash64("set_hash")))
+    found = links(profiles(blocks, reps, n, percent), percent)
+    if merge_ids:
+        ids = some.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
+        mixed = some.join(ids, "doc_id").select("doc_id", F.xxhash64("set_hash").alias("b")).distinct()
+        same = mixed.join(mixed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
+        found = found.unionByName(same)
+    return reps, components(found).select(F.col("id").alias("node"), F.col("component").alias("root"))
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; further columns are ignored).
 
@@ -215,20 +233,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     none and links with nothing.  Two documents link when the intersection is at
     least ``percent`` hundredths of the union; component_id is the smallest
     doc_id reachable.  Repeated rows link with each other; a null doc_id is in
-    no component (null), and rows of one id are one document.  An empty table
-    gives no rows.  Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    no component (null), and rows of one id are one document, also where their
+    texts differ.  An empty table gives no rows.  Shingles are told apart by
+    64-bit hashes, sets by 128 bits.
     """
     blocks = write_blocks(docs)
     every = signatures(blocks, n)
-    some = every.where("m > 0 and doc_id is not null")
-    # A node is a set, taken from one row: of the smallest doc_id, in its first block.
-    reps = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "block")).alias("r")).select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.block").alias("block"))
-    reps = cut(reps.withColumn("node", F.xxhash64("set_hash")))
-    # Rows of one id are one document, also where their texts differ.
-    ids = some.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
-    mixed = some.join(ids, "doc_id").select("doc_id", F.xxhash64("set_hash").alias("b")).distinct()
-    same = mixed.join(mixed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
-    comp = components(links(profiles(blocks, reps, n, percent), percent).unionByName(same)).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    reps, comp = classes(every, blocks, n, percent, merge_ids=True)
     of = reps.select("set_hash", "node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("rep").alias("component"))
     named = of.join(least, "root").select("set_hash", "component")
@@ -238,10 +249,24 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component (of repeated rows, one); null ids stay."""
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    first = join(known, n, percent).where("doc_id = component_id").select("doc_id")
-    return known.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, with all their columns, that are the first of their group of near copies.
+
+    First by doc_id, then by hashes of set and text.  Rows that repeat doc_id
+    and text are one; texts of one doc_id that are no near copies each stay.
+    Rows with a null doc_id, and blank texts, stay.
+    """
+    blocks = write_blocks(docs)
+    every = signatures(blocks, n)
+    reps, comp = classes(every, blocks, n, percent, merge_ids=False)
+    roots = reps.select("set_hash", "node").join(comp, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
+    some = every.where("doc_id is not null and m > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "set_hash", "text_hash")).alias("first"))
+    first = some.join(roots, "set_hash").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    blank = every.where("doc_id is not null and m = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = cut(first.unionByName(blank).distinct())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    keyed = keyed.withColumn("id", F.col("doc.doc_id")).withColumn("hash", F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")))
+    once = keyed.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return once.unionByName(keyed.where("id is null")).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 ORACLE = """

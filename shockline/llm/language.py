@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockline.llm.shared import crc_of
@@ -96,69 +97,98 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 200, rate: float = 0.3, d
     return Coder(names, code, w, b)
 
 
-def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4) -> Coder:
-    """Fits the classifiers to a bounded sample: about ``per_lang`` documents of each language with a text.
+def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4, most_rows: int = 20_000) -> Coder:
+    """Fits the classifiers to a bounded sample: ``per_lang`` documents of each language with a text, fewer of each
+    where there are so many languages that they would be more than ``most_rows``.
 
     Documents whose crc32 of doc_id modulo ``folds`` is ``held_out`` are left
-    out.  The sample has the lowest hashes of doc_id, so it is the same every time.
+    out.  The sample has the lowest hashes of doc_id and text, so it is the same
+    every time, null ids spread, and repeated rows count once.
     """
     known = docs.where("lang is not null and text is not null and trim(text) <> ''")
     if held_out is not None:
         known = known.where(crc_of("doc_id") % folds != held_out)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not sizes:
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return Coder([], np.ones((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32))
-    below = F.lit(0.0)
-    for r in sorted(sizes, key=lambda r: r["lang"]):
-        below = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["n"]))).otherwise(below)
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    each = max(1, min(per_lang, most_rows // n_langs))
+    keyed = known.join(sizes, "lang")
+    # Twice the share that is wanted, so that enough are left; then exactly the lowest of each language.
+    few = keyed.where(F.pmod("h", F.lit(1 << 40)) < F.lit(2.0 * each * (1 << 40)) / F.col("n")).select("lang", F.pmod("h", F.lit(1 << 40)).alias("rank"), "text")
+    ranks = few.select("lang", "rank").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= each)
+    last = ranks.groupBy("lang").agg(F.max("rank").alias("last"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row.tobytes() for run in slices(batch.column(1)) for row in features(run)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
-
-    rows = known.where(spread < below).select("lang", "text").mapInArrow(mapped, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
+            rows = []
+            for run in slices(batch.column(2)):
+                for x in features(run):
+                    at = np.flatnonzero(x).astype(np.uint16)
+                    rows.append(at.tobytes() + x[at].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["lang", "rank", "x"])
+
+    chosen = few.join(last, "lang").where("rank <= last").select("lang", "rank", "text").mapInArrow(mapped, "lang string, rank long, x binary")
+    rows = sorted(chosen.distinct().collect(), key=lambda r: (r["lang"], r["rank"], r["x"]))
     if not rows:
         return Coder([], np.ones((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32))
-    return fit(np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), WIDTH), [r["lang"] for r in rows])
+    x = np.zeros((len(rows), WIDTH), np.float32)
+    for row, r in zip(x, rows, strict=True):
+        n = len(r["x"]) // 6
+        row[np.frombuffer(r["x"], np.uint16, n)] = np.frombuffer(r["x"][2 * n :], np.float32)
+    return fit(x, [r["lang"] for r in rows])
 
 
 RESULT = "lang_pred string, score double, ambiguous boolean"
 
 
-def predict(docs: DataFrame, coder: Coder, least_gap: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' named columns with lang_pred, score (0 to 1) and ambiguous (the two nearest codewords lie within ``least_gap``).
+def told(coder: Coder, texts: pa.Array, least_gap: float) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and ambiguity of whole texts."""
+    langs, scores, close = [], [], []
+    letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
+    for run in slices(texts):
+        if not coder.langs:
+            langs += ["und"] * len(run)
+            scores += [0.0] * len(run)
+            close += [True] * len(run)
+            continue
+        for i, (k, p, gap) in enumerate(zip(*coder.decode(features(run)), strict=True)):
+            ok = letter[run.first + i]
+            langs.append(coder.langs[k] if ok else "und")
+            scores.append(float(min(1.0, p)) if ok else 0.0)
+            close.append(bool(gap < least_gap) or not ok)
+    return langs, scores, close
+
+
+def predict(docs: DataFrame, coder: Coder, least_gap: float = 0.5) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1) and ambiguous (the two nearest codewords lie within ``least_gap``) per row of docs.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
-    text if no language could be learned.  All texts are read whole; repeated
-    rows and null ids give a row each; an empty table gives none.
+    text if no language could be learned.  All texts are read whole; further
+    columns are ignored; repeated rows and null ids give a row each; an empty
+    table gives none.
     """
-    schema = docs.select(*columns).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    n_in = len(columns)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, close = [], [], []
-            letter = batch.column(n_in + 1).to_pylist()
-            for run in slices(batch.column(n_in)):
-                if not coder.langs:
-                    langs += ["und"] * len(run)
-                    scores += [0.0] * len(run)
-                    close += [True] * len(run)
-                    continue
-                for i, (k, p, gap) in enumerate(zip(*coder.decode(features(run)), strict=True)):
-                    ok = letter[run.first + i]
-                    langs.append(coder.langs[k] if ok else "und")
-                    scores.append(float(min(1.0, p)) if ok else 0.0)
-                    close.append(bool(gap < least_gap) or not ok)
-            cols = [*batch.columns[:n_in], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*columns, *(c.split()[0] for c in RESULT.split(", "))])
-
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    return docs.select(*columns, F.col("text").alias("_text"), has_letter).mapInArrow(mapped, f"{ddl}, {RESULT}")
+            langs, scores, close = told(coder, batch.column(1), least_gap)
+            cols = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return docs.select("doc_id", "text").mapInArrow(mapped, f"doc_id long, {RESULT}")
+
+
+def keep_told(docs: DataFrame, coder: Coder, least_gap: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language ``predict`` can tell: not ``und`` and not ambiguous."""
+    place = docs.columns.index("text")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, _, close = told(coder, batch.column(place), least_gap)
+            yield batch.filter(pa.array([k != "und" and not c for k, c in zip(langs, close, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(mapped, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ stand within a longer one; comment marks around lines are left out.
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockline.llm.shared import crc_of
 from shockline.llm.text import PLACE, Run, Words, mix, slices, words
 
 #: Wording of public licence notices and of typical paragraphs of the licences, by family.
@@ -238,14 +239,37 @@ def fit(negatives: list[np.ndarray], seed: int = 5, copies: int = 30, rounds: in
 CUE = r"(?i)(licen[sc]|copyright|permission|redistribut|warrant|all rights|spdx|creative commons|public domain)"
 
 
-def train(docs: DataFrame, sample: int = 400, per_document: int = 20) -> Classifier:
-    """Fits the classifier; its examples of no licence are the first ``per_document`` paragraphs of about ``sample``
-    documents without a licence word, those of the lowest crc32 of doc_id."""
-    n = docs.count()
-    few = docs.where(crc_of("doc_id") <= min(1.0, 2 * sample / max(n, 1)) * 2.0**32)
-    rows = few.where(F.col("text").isNotNull() & ~F.col("text").rlike(CUE)).select("doc_id", F.expr(f"slice(split(text, '\\n'), 1, {per_document})").alias("lines")).limit(2 * sample).collect()
-    lines = [line[:2000] for r in sorted(rows, key=lambda r: (r["doc_id"] or 0, r["lines"])) for line in r["lines"] if line.strip()]
-    return fit([token_hashes(line) for line in lines])
+PIECES = "of long, at long, words binary"
+
+
+def train(docs: DataFrame, sample: int = 400, per_document: int = 20, piece_words: int = 64) -> Classifier:
+    """Fits the classifier; its examples of no licence are a bounded sample of paragraphs.
+
+    Of the ``sample`` documents with the lowest hash of doc_id and text, whole
+    texts are cut into lines and these into pieces of at most ``piece_words``
+    words; those of the ``per_document`` lowest hashes that hold no licence word
+    count.  The choice doesn't depend on the order of rows or tasks.
+    """
+    keyed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("of"), "text")
+    lowest = [r["of"] for r in keyed.select("of").distinct().orderBy("of").limit(sample).collect()]
+    if not lowest:
+        return fit([])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+                pieces = []
+                for line in text.split("\n"):
+                    found = line.split(" ")
+                    pieces += [" ".join(found[k : k + piece_words]) for k in range(0, len(found), piece_words)]
+                some = sorted({(zlib.crc32(x.encode()), x) for x in pieces if x.strip() and not re.search(CUE, x)})[:per_document]
+                out += [(i, h, token_hashes(x).tobytes()) for h, x in some]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["of", "at", "words"])
+
+    rows = keyed.where(F.col("of") <= lowest[-1]).mapInArrow(mapped, PIECES).distinct().orderBy("of", "at", "words").collect()
+    return fit([np.frombuffer(r["words"], np.uint64) for r in rows if r["words"]])
 
 
 @dataclass

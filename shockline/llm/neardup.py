@@ -11,7 +11,7 @@ are compared as one that stands for all of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,12 +24,12 @@ from shockline.llm.shared import components, cut
 BLOCK = 1024
 
 
-def plan(n: int, cosine: float, miss: float = 1e-4, bucket: int = 256, most_tables: int = 256) -> tuple[int, int]:
-    """Hyperplanes per table and tables for n vectors: buckets of about ``bucket`` unlike vectors, and a
-    pair at the threshold shares none with a chance of ``miss`` at most."""
+def plan(n: int, cosine: float, miss: float = 1e-4, bucket: int = 256) -> tuple[int, int]:
+    """Hyperplanes per table and tables for n vectors: buckets of about ``bucket`` unlike vectors, and as many tables
+    as it takes for a pair at the threshold to share none with a chance of ``miss`` at most."""
     bits = max(4, math.ceil(math.log2(max(n, 1) / bucket))) if n > bucket else 4
     same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, min(most_tables, max(4, math.ceil(math.log(miss) / math.log1p(-same))))
+    return bits, max(4, math.ceil(math.log(miss) / math.log1p(-same)))
 
 
 def hyperplanes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -42,25 +42,39 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (bytes of doubles) of the rows whose vector has a direction."""
+    """vec_id, v (bytes of floats of 4 bytes where those hold the same values, else of 8) per row; v is null where the
+    vector has no direction or no id."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            out = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or not v or any(x is None for x in v):
-                    continue
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    top = np.abs(x).max()
-                    x = x / top if top > 1e100 or top < 1e-100 else x  # squares stay finite
-                    ids.append(i)
-                    out.append((x + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
+                body = None
+                if i is not None and v and not any(x is None for x in v):
+                    x = np.array(v, np.float64)
+                    if np.isfinite(x).all() and x.any():
+                        top = np.abs(x).max()
+                        x = x / top if top > 1e100 or top < 1e-100 else x  # squares stay finite
+                        with np.errstate(over="ignore"):
+                            short = x.astype(np.float32)
+                        body = (b"4" + (short + np.float32(0)).tobytes()) if (short == x).all() else b"8" + (x + 0.0).tobytes()
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(packed, "vec_id long, v binary")
 
 
+def opened(bodies: list[bytes]) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return np.stack([np.frombuffer(b, np.float32 if b[:1] == b"4" else np.float64, offset=1).astype(np.float64) for b in bodies])
+
+
+def packed_signatures(sigs: np.ndarray, bits: int) -> list[bytes]:
+    """Rows of signatures in the fewest whole bytes each."""
+    wide = np.ascontiguousarray(sigs.astype("<i8")).view(np.uint8).reshape(*sigs.shape, 8)[:, :, : -(-bits // 8)]
+    return [row.tobytes() for row in np.ascontiguousarray(wide)]
+
+
 def bucketed(reps: DataFrame, dim: int, bits: int, tables: int, seed: int) -> DataFrame:
     """rep, copies, v, sigs (bytes of a signature per table), table, bucket."""
 
@@ -70,15 +84,15 @@ def bucketed(reps: DataFrame, dim: int, bits: int, tables: int, seed: int) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, dim)
+            x = opened(batch.column(2).to_pylist())
             sigs = (x @ planes > 0).reshape(len(x), tables, bits) @ weights
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(sigs.tolist(), pa.list_(pa.int64()))], ["rep", "copies", "v", "sigs", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed_signatures(sigs, bits), pa.binary()), pa.array(sigs.tolist(), pa.list_(pa.int64()))], ["rep", "copies", "v", "sigs", "buckets"])
 
     rows = reps.select("rep", "copies", "v").mapInArrow(hashed, "rep long, copies long, v binary, sigs binary, buckets array<long>")
     return rows.select("rep", "copies", "v", "sigs", F.posexplode("buckets").alias("table", "bucket"))
 
 
-def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def compare(part: pd.DataFrame, cosine: float, tables: int) -> pd.DataFrame:
     """Links of one block, or between two: partial link counts and, per vector, a link to a component's smallest id."""
     table, same = int(part["table"].iat[0]), bool(part["bi"].iat[0] == part["bj"].iat[0])
     part = part.sort_values("rep", kind="stable")
@@ -87,15 +101,16 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     ids_l, ids_r = left["rep"].to_numpy(), right["rep"].to_numpy()
     if not len(ids_l) or not len(ids_r):
         return pd.DataFrame({"id": [], "n_links": [], "to": []}).astype("int64")
-    x, y = (unit(np.frombuffer(b"".join(s["v"]), np.float64).reshape(len(s), -1)) for s in (left, right))
-    sig_l, sig_r = (np.frombuffer(b"".join(s["sigs"]), np.int64).reshape(len(s), -1) for s in (left, right))
+    x = unit(opened(left["v"].tolist()))
+    y = x if same else unit(opened(right["v"].tolist()))
+    sig_l, sig_r = (np.frombuffer(b"".join(s["sigs"]), np.uint8).reshape(len(s), tables, -1) for s in (left, right))
     a, b = np.nonzero(x @ y.T >= cosine)
     keep = a < b if same else np.ones(len(a), bool)
     a, b = a[keep], b[keep]
     fresh = np.ones(len(a), bool)
     for k in range(0, len(a), 1 << 18):
         s = slice(k, k + (1 << 18))
-        fresh[s] = ~(sig_l[a[s], :table] == sig_r[b[s], :table]).any(axis=1)
+        fresh[s] = ~(sig_l[a[s], :table] == sig_r[b[s], :table]).all(axis=2).any(axis=1)
     a, b = a[fresh], b[fresh]
     if not len(a):
         return pd.DataFrame({"id": [], "n_links": [], "to": []}).astype("int64")
@@ -126,41 +141,47 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[on], "n_links": count[on].astype("int64"), "to": ids[[find(int(k)) for k in on]]})
 
 
+def comparing(cosine: float, tables: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda part: compare(part, cosine, tables)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 7, miss: float = 1e-4, bucket: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding; further columns are ignored).
 
     A vector that is null, empty, zero or holds null or non-finite components
     links with nothing and is a component of its own.  Vectors of different
-    lengths never link.  Rows of one vec_id are expected to be one row; repeated
-    ones count as copies.  A null vec_id gets 0 links and a null component.
-    An empty table gives no rows.
+    lengths never link.  Every row is a vector of its own: repeated rows count
+    as copies of each other, and rows of one vec_id with other vectors each have
+    the links of theirs.  A null vec_id gets 0 links and a null component.  An
+    empty table gives no rows.
     """
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     plain = cut(usable(vectors))
-    groups = plain.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(groups)
+    groups = plain.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    reps = cut(groups.withColumn("rep", F.xxhash64("v")))
     links = None
-    for row in reps.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
+    dim = F.expr("(octet_length(v) - 1) div if(startswith(v, X'34'), 4, 8)")
+    for row in reps.groupBy(dim.alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
         bits, tables = plan(row["n"], cosine, miss, bucket)
-        rows = bucketed(reps.where(F.octet_length("v") == 8 * row["dim"]), row["dim"], bits, tables, seed)
+        rows = bucketed(reps.where(dim == row["dim"]), row["dim"], bits, tables, seed)
         sizes = rows.groupBy("table", "bucket").agg(F.count("*").alias("m")).where("m > 1")
         sizes = sizes.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         rows = rows.join(sizes, ["table", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         rows = rows.select("rep", "copies", "v", "sigs", "table", "bucket", "own", other)
         rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other")
-        found = rows.groupBy("table", "bucket", "bi", "bj").applyInPandas(lambda part: compare(part, cosine), "id long, n_links long, to long")
+        found = rows.groupBy("table", "bucket", "bi", "bj").applyInPandas(comparing(cosine, tables), "id long, n_links long, to long")
         links = found if links is None else links.unionByName(found)
     if links is None:
         links = reps.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("to")).limit(0)
     links = cut(links)
     counts = links.groupBy(F.col("id").alias("rep")).agg(F.sum("n_links").alias("links"))
     comps = components(links.select(F.col("id").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("rep"), "component")
-    each = reps.select("v", "rep", "copies").join(counts, "rep", "left").join(comps, "rep", "left")
-    each = each.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    known = plain.join(each, "v").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
-    out = ids.join(known, "vec_id", "left")
-    out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    each = reps.select("v", "rep", "least_id", "copies").join(counts, "rep", "left").join(comps, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    least = each.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    each = each.join(least, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = plain.where("v is not null").join(each, "v").select("vec_id", "n_links", "component_id")
+    # Vectors without a direction have no key to be joined by.
+    out = out.unionByName(plain.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -1,13 +1,19 @@
 """Document quality by labelling lines with a linear-chain conditional random field.
 
 A line is content or boilerplate.  Its features are shares of characters and
-words, put into bins; the field's weights are fitted to labelled documents, and
-Viterbi decoding of each whole text marks its lines.  The share of the text's
-words on content lines decides.
+words, put into bins; Viterbi decoding of each whole text marks its lines, and
+the share of the text's words on content lines decides.
+
+Only documents are labelled, and a poor one may well hold good lines.  So the
+field is fitted twice: without the chain to lines that have their document's
+label, which tells what lines of poor documents look like those of good ones,
+and then with the chain to the lines marked so, and to good documents with the
+lines of a poor one put in their middle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -176,22 +182,27 @@ class Field:
         return np.array(out[::-1], np.int8)
 
 
-def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood with an L2 penalty, by Adam; docs: (bins of a document's lines, their label)."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], chain: bool = True, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
+    """Maximum likelihood with an L2 penalty, by Adam; docs: (bins, labels) of the lines of a sequence.
+
+    Every sequence counts the same, whatever its length, and so do, over all of
+    them, both labels.  Without ``chain`` no weight is given to neighbours.
+    """
     emit, move = np.zeros((WIDTH, 2)), np.zeros((2, 2))
     docs = sorted((d for d in docs if len(d[0])), key=lambda d: len(d[0]))
     if not docs:
         return Field(emit, move)
-    weight = {y: len(docs) / (2 * max(1, sum(d[1] == y for d in docs))) for y in (0, 1)}
+    content = sum(float(y.mean()) for _, y in docs)
+    weight = [len(docs) / (2 * max(x, 1e-9)) for x in (len(docs) - content, content)]
     groups = []
     for i in range(0, len(docs), 64):
         part = docs[i : i + 64]
         t = max(len(b) for b, _ in part)
         bins = np.zeros((len(part), t, len(BINS)), np.int64)
-        mask = np.zeros((len(part), t))
-        for k, (b, _) in enumerate(part):
-            bins[k, : len(b)], mask[k, : len(b)] = b, 1
-        groups.append((bins, mask, np.array([y for _, y in part]), np.array([weight[y] / len(b) for b, y in part])))
+        mask, gold = np.zeros((len(part), t)), np.zeros((len(part), t), np.int64)
+        for k, (b, y) in enumerate(part):
+            bins[k, : len(b)], mask[k, : len(b)], gold[k, : len(b)] = b, 1, y
+        groups.append((bins, mask, gold, np.array([(weight[1] * y.mean() + weight[0] * (1 - y.mean())) / len(y) for _, y in part])))
     total = sum(w.sum() for *_, w in groups)
     state = [(np.zeros_like(emit), np.zeros_like(emit)), (np.zeros_like(move), np.zeros_like(move))]
     for step in range(1, rounds + 1):
@@ -210,15 +221,13 @@ def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1
                 new = np.stack([np.logaddexp(move[s, 0] + q[:, 0], move[s, 1] + q[:, 1]) for s in (0, 1)], axis=1)
                 beta[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0)
             p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-            gold = np.stack([1 - y, y], axis=1)[:, None, :] * mask[:, :, None]
-            g = (p - gold) * w[:, None, None] / total
+            g = (p - np.eye(2)[y] * mask[:, :, None]) * w[:, None, None] / total
             for f in range(len(BINS)):
                 np.add.at(ge, bins[:, :, f].ravel(), g.reshape(-1, 2))
-            if t > 1:
+            if t > 1 and chain:
                 pair = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-                pair = np.exp(pair) * mask[:, 1:, None, None]
-                for k, label in enumerate(y):
-                    pair[k, :, label, label] -= mask[k, 1:]
+                told = np.eye(2)[y[:, :-1]][:, :, :, None] * np.eye(2)[y[:, 1:]][:, :, None, :]
+                pair = (np.exp(pair) - told) * mask[:, 1:, None, None]
                 gm = gm + (pair * w[:, None, None, None]).sum(axis=(0, 1)) / total
         for x, g, (m, v) in zip((emit, move), (ge, gm), state, strict=True):
             m += 0.1 * (g - m)
@@ -227,27 +236,61 @@ def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1
     return Field(emit, move)
 
 
-def line_bins(docs: DataFrame) -> DataFrame:
-    """doc_id, label, bins (bytes of an int16 matrix) of whole texts."""
+def mark(docs: list[tuple[np.ndarray, int]], sure: float = 2.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bins, labels of the lines) from (bins, label of the document).
+
+    A line of a poor document is content if it looks more like the lines of
+    good ones; a line of a good one is boilerplate if it looks much more like
+    those of poor ones.  Where that would leave no line with the document's
+    label, all keep it.
+    """
+    alone = fit([(b, np.full(len(b), y)) for b, y in docs], chain=False)
+    out = []
+    for bins, label in docs:
+        e = alone.emit[bins].sum(axis=1)
+        lines = (e[:, 1] - e[:, 0] >= (-sure if label else 0)).astype(np.int64)
+        out.append((bins, lines if (lines == label).any() else np.full(len(bins), label)))
+    return out
+
+
+def joined(marked: list[tuple[np.ndarray, np.ndarray]], docs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Good documents with the lines of a poor one in their middle, one for every poor document."""
+    good = [m for m, (_, y) in zip(marked, docs, strict=True) if y]
+    poor = [m for m, (_, y) in zip(marked, docs, strict=True) if not y]
+    out = []
+    for k, (bins, lines) in enumerate(poor if good else []):
+        around, told = good[k % len(good)]
+        at = len(around) // 2
+        out.append((np.concatenate([around[:at], bins, around[at:]]), np.concatenate([told[:at], lines, told[at:]])))
+    return out
+
+
+def line_bins(docs: DataFrame, max_lines: int) -> DataFrame:
+    """doc_id, label, bins (bytes of an int16 matrix): lines of the whole text, or ``max_lines`` running ones from a
+    place that depends on the text."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for run in slices(batch.column(1)):
+            for run in slices(batch.column(2)):
                 _, lines = read(run, SYMBOLS)
-                out += [lines.bins[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["label", "bins"])
+                for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist(), strict=True):
+                    if b - a > max_lines:
+                        a += zlib.crc32(lines.bins[a:b].tobytes()) % (b - a - max_lines + 1)
+                        b = a + max_lines
+                    out.append(lines.bins[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "bins"])
 
-    return docs.select("label", "text").mapInArrow(mapped, "label int, bins binary")
+    return docs.select("doc_id", "label", "text").mapInArrow(mapped, "doc_id long, label int, bins binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 750, max_lines: int = 400) -> Field:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 750, max_lines: int = 200) -> Field:
     """Fits the field to a bounded sample of labelled documents.
 
-    labels: doc_id, quality (1: its lines are content, 0: boilerplate; null
-    rows are left out).  The sample has about ``per_label`` documents of each
-    label, those of the lowest crc32 of doc_id; of a document that has more,
-    every k-th line is used so that ``max_lines`` at most remain.
+    labels: doc_id, quality (1: good, 0: poor; null rows are left out).  The
+    sample has about ``per_label`` documents of each label, those of the lowest
+    crc32 of doc_id, and of each at most ``max_lines`` running lines; of rows
+    with one doc_id one counts.  Without labels every line is content.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     share = {r["label"]: min(1.0, per_label / r["n"]) for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -256,13 +299,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 750, max_lines: i
     below = F.lit(0.0)
     for label, part in sorted(share.items()):
         below = F.when(F.col("label") == label, F.lit(part * 2.0**32)).otherwise(below)
-    chosen = F.broadcast(known.where(crc_of("doc_id") <= below))
-    rows = line_bins(docs.select("doc_id", "text").join(chosen, "doc_id")).collect()
-    found = []
-    for r in sorted(rows, key=lambda r: (r["label"], r["bins"])):
-        bins = np.frombuffer(r["bins"], np.int16).reshape(-1, len(BINS)).astype(np.int64)
-        found.append((bins[:: max(1, -(-len(bins) // max_lines))], r["label"]))
-    return fit(found)
+    chosen = F.broadcast(known.where(crc_of("doc_id") <= below))  # about per_label rows of each label
+    rows = line_bins(docs.select("doc_id", "text").join(chosen, "doc_id"), max_lines).groupBy("doc_id", "label").agg(F.min("bins").alias("bins")).collect()
+    found = [(np.frombuffer(r["bins"], np.int16).reshape(-1, len(BINS)).astype(np.int64), r["label"]) for r in sorted(rows, key=lambda r: (r["label"], r["bins"])) if r["bins"]]
+    marked = mark(found)
+    return fit(marked + joined(marked, found))
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"

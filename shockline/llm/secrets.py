@@ -2,7 +2,8 @@
 
 Candidates are found in every text, then counted over the corpus: in how many
 repositories and at how many owners does the same value occur?  A value copied
-widely is an example; one held by few owners looks live.  The documents table
+widely, over owners or over the repositories of few, is an example; one that
+few hold looks live.  The documents table
 has no repository column: ``owner`` is the column named (``source``), and each
 document stands for a repository of its owner.
 """
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shockline.llm.shared import cut
 from shockline.llm.text import LOWER, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -105,67 +107,78 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """value_hash -> n_repos, n_owners.  Counted per (value, owner) first, so a value copied everywhere is no hot key."""
-    per_owner = spans.groupBy("value_hash", "owner", "doc_id").agg(F.count("*").alias("n")).groupBy("value_hash", "owner").agg(F.count("*").alias("n_repos"))
+    """value_hash -> n_repos, n_owners.
+
+    Counted per (value, owner, repository) and (value, owner) first, so a value copied everywhere is no hot key.
+    """
+    per_repo = spans.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    per_owner = per_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repos"))
     return per_owner.groupBy("value_hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
-    """Every candidate span with n_repos, n_owners, live (its value is at fewer than ``example_owners`` owners) and reported.
+def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
+    """Every candidate span with n_repos, n_owners, live and reported.
 
+    A value is widely copied, an example, if ``example_owners`` owners have it,
+    or ``example_repos`` repositories of whatever owners; others are live.
     Spans of assign, access and hex are always reported; the method adds the
     opaque ones that are live.  A null text or one without candidates has no
     row; a null owner counts as one owner; repeated rows of a doc_id count once
-    as a repository; empty tables give no rows.
+    as a repository; empty tables give no rows.  The texts are read once: the
+    candidates, which are small, are written.
     """
-    spans = candidates(docs, owner)
+    spans = cut(candidates(docs, owner))
     joined = spans.join(ownership(spans), "value_hash")
-    live = joined.withColumn("live", F.col("n_owners") < example_owners)
+    live = joined.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
     return live.withColumn("reported", (F.col("kind") != "opaque") | F.col("live"))
 
 
 def spans_of(found: DataFrame) -> DataFrame:
     """Per (doc_id, row): its spans in order, as an array of structs."""
     rank = F.expr("array_position(array({}), kind)".format(",".join(f"'{k}'" for k in KINDS)))
-    one = F.struct(F.col("start"), rank.alias("rank"), "kind", "end", "live", "reported", "n_owners")
+    one = F.struct(F.col("start"), rank.alias("rank"), "kind", "end", "live", "reported", "n_owners", "n_repos")
     return found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(one)).alias("spans"))
 
 
-def with_spans(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
-    """docs with an array column _spans, empty where nothing was found.  Nulls, repeated rows and further columns stay."""
-    per = spans_of(scan(docs, owner, example_owners))
-    per = per.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row")), "left")
-    return joined.drop("_id", "_row", "_text").withColumn("_spans", F.coalesce("_spans", F.array()))
+def with_spans(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
+    """doc (a struct of all columns of docs) and spans, an array that is empty where nothing was found.
+
+    Nulls, repeated rows and further columns, whatever their names, stay.
+    """
+    per = spans_of(scan(docs, owner, example_owners, example_repos)).withColumnRenamed("doc_id", "id")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")) == F.col("row"))
+    return keyed.join(per, same, "left").select("doc", F.coalesce("spans", F.array()).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: str = "source", example_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50, mark: str = "[SECRET]") -> DataFrame:
     """docs whose live reported spans are replaced by ``mark``; overlapping spans by one.  Widely copied examples stay."""
-    columns = docs.columns
-    found = with_spans(docs, owner, example_owners)
     pieces = F.expr(
-        f"""aggregate(filter(_spans, s -> s.live and s.reported),
+        f"""aggregate(filter(spans, s -> s.live and s.reported),
             named_struct('at', 0L, 'out', ''),
             (acc, s) -> if(s.end <= acc.at, acc, named_struct('at', s.end,
-                'out', concat(acc.out, if(s.start >= acc.at, concat(substring(text, int(acc.at + 1), int(s.start - acc.at)), '{mark}'), '')))),
-            acc -> concat(acc.out, substring(text, int(acc.at + 1))))"""
+                'out', concat(acc.out, if(s.start >= acc.at, concat(substring(doc.text, int(acc.at + 1), int(s.start - acc.at)), '{mark}'), '')))),
+            acc -> concat(acc.out, substring(doc.text, int(acc.at + 1))))"""
     )
-    found = found.withColumn("text", F.when(F.exists("_spans", lambda s: s["live"] & s["reported"]), pieces).otherwise(F.col("text")))
-    return found.select(*columns)
+    text = F.when(F.exists("spans", lambda s: s["live"] & s["reported"]), pieces).otherwise(F.col("doc.text"))
+    found = with_spans(docs, owner, example_owners, example_repos)
+    return found.select(*(text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
-def digest(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
-    """The result of op3: counts and joined spans per document."""
-    base = F.filter("_spans", lambda s: s["kind"] != "opaque")
-    kept = F.filter("_spans", lambda s: s["reported"])
+def digest(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
+    """The result of op3: counts and joined spans per document; n_repos and n_owners are those of its most copied value."""
+    base = F.filter("spans", lambda s: s["kind"] != "opaque")
+    kept = F.filter("spans", lambda s: s["reported"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
-    return with_spans(docs.select("doc_id", "text", owner), owner, example_owners).select(
-        "doc_id",
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    most = lambda name: F.coalesce(F.array_max(F.transform("spans", lambda s: s[name])), F.lit(0)).alias(name)
+    return with_spans(docs.select("doc_id", "text", owner), owner, example_owners, example_repos).select(
+        "doc.doc_id",
         *(n(k).alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(kept).alias("spans"),
-        F.size(F.filter("_spans", lambda s: s["live"] & s["reported"])).cast("long").alias("n_live"),
-        F.size(F.filter("_spans", lambda s: ~s["live"])).cast("long").alias("n_example"),
+        F.size(F.filter("spans", lambda s: s["live"] & s["reported"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"),
+        most("n_repos"),
+        most("n_owners"),
     )

@@ -50,6 +50,9 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = Memo(self._word)
         vocab = self.tokenizer.get_vocab()
+        # Special tokens are found before letters are lowered, and only as they are written.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]), re.IGNORECASE)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
@@ -90,7 +93,7 @@ class WordBpe:
         """The ids of each text, without special tokens added."""
         parts: list[list[str] | None] = []
         for text in texts:
-            if re.search("[\x1c-\x1f]", text):  # white space to Python, not to the tokenizer
+            if self.odd.search(text):  # special tokens in any case, and white space to Python that is none to the tokenizer
                 parts.append(None)
             else:
                 parts.append(text.encode().lower().decode().split())  # A-Z only; the tokenizer sees to the rest

@@ -1,6 +1,8 @@
 import hashlib
 import io
+import itertools
 import math
+import os
 import random
 import re
 import textwrap
@@ -9,9 +11,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shockline.llm import jaccard, language, licenses, neardup, packing, pieces, quality, scoring, secrets, shared, warc, zipread
+from shockline.llm.text import slices
 from shockline.llm.tokens import WordBpe, vocabulary
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -55,6 +59,24 @@ def test_packing(docs, empty, texts):
         ends = seq.length.cumsum().tolist()
         assert seq.offset.tolist() == [0, *ends[:-1]] and (ends[-1] == 2048 or ends[-1] & (ends[-1] - 1) == 0)
     assert packing.pack_documents(empty, path).count() == 0
+    # Every piece holds the ids it says, and pieces of a document cover them once.
+    bodies = {}
+    for i, t in texts:
+        bodies.setdefault(i, []).append(bpe._raw(t or "") + np.array([1], "<u4").tobytes())
+    seen = Counter()
+    for r in rows.itertuples():
+        i = None if r.doc_id != r.doc_id else int(r.doc_id)
+        assert r.ids_crc32 in {zlib.crc32(b[4 * r.start : 4 * (r.start + r.length)]) for b in bodies[i] if len(b) // 4 == r.doc_tokens}
+        seen.update((i, k) for k in range(r.start, r.start + r.length))
+    assert seen == Counter((i, k) for i, found in bodies.items() for b in found for k in range(len(b) // 4))
+
+
+def test_special_tokens_are_read_as_the_library_reads_them():
+    bpe, rng = WordBpe(vocabulary("word_bpe_49k.json")), random.Random(4)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "a", "B c", "don't", "É", "İ", "...", "12", " ", "\n", "<|endoftext|>x"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        assert bpe.encode([text])[0] == bpe._raw(text)
 
 
 def test_packing_fills_every_sequence():
@@ -108,6 +130,8 @@ def test_near_duplicates(spark):
     n = Counter(i for i, _ in links)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items() if i is not None} == {i: (n[i], c, i == c) for i, c in comp.items()}
     assert got[None].n_links == 0 and not got[None].kept
+    again = spark.createDataFrame([(1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.001]), (4, [1.0 / 3, 1e-300])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(again).collect()) == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False)]
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -126,20 +150,107 @@ def test_secrets(spark, docs, empty):
     assert secrets.redact(docs).count() == docs.count() and secrets.digest(empty).count() == 0
 
 
-def test_scoring(docs, empty, texts):
+def plain_secrets(rows):
+    """All of op3's columns by plain search; rows: (doc_id, text, source)."""
+    base = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+        ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
+    )
+    order = ["assign", "access", "hex", "opaque"]
+    found = []
+    for i, text, source in rows:
+        spans = {(m.start(), order.index(kind), m.end(), m[g]) for kind, e, g, least in base for m in e.finditer(text or "") if len(m[g]) >= least}
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            n = Counter(m[0])
+            bits = -sum(x / len(m[0]) * math.log2(x / len(m[0])) for x in n.values())
+            if bits >= 3.5 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, k, b, _ in spans if k < 3):
+                spans.add((m.start(), 3, m.end(), m[0]))
+        found.append((i, text, source, sorted(spans)))
+    repos, owners = {}, {}
+    for i, _, source, spans in found:
+        for *_, value in spans:
+            repos.setdefault(value, set()).add((source, i))
+            owners.setdefault(value, set()).add(source)
+    live = {v: len(owners[v]) < 3 and len(repos[v]) < 50 for v in repos}
+    told = lambda spans: ",".join(f"{order[k]}:{a}:{b}" for a, k, b, _ in spans)
+    out = []
+    for i, _, _, spans in found:
+        kept = [s for s in spans if s[1] < 3 or live[s[3]]]
+        n = [sum(k == kind for _, k, _, _ in spans) for kind in range(3)]
+        sha = hashlib.sha256(told([s for s in spans if s[1] < 3]).encode()).hexdigest()
+        out.append((i, *n, sha, told(kept), sum(live[s[3]] for s in kept), sum(not live[s[3]] for s in spans), max((len(repos[s[3]]) for s in spans), default=0), max((len(owners[s[3]]) for s in spans), default=0)))
+    return out
+
+
+def test_secrets_equal_a_plain_search(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef0123456789", k=rng.choice([8, 15, 16, 40])))
+    opaque = lambda: "".join(rng.choices("ABCDEFabcdef0123456789+/_=-", k=rng.choice([12, 19, 20, 33])))
+    pool = [opaque() for _ in range(12)] + [word() for _ in range(6)] + ["AKIA" + "".join(rng.choices("ABCXYZ0123", k=rng.choice([13, 14, 20]))) for _ in range(4)]
+    forms = ["{}", "x{}", "password={}", "TOKEN: '{}'", "api_key  :  \"{}\"", "Secret={}!", "apikey={}é{}", "token='{}'{}", "passwd\n={}", "漢字 {} \U0001f600 {}"]
+    fill = lambda form: re.sub(r"\{\}", lambda _: rng.choice(pool) if rng.random() < 0.6 else rng.choice((word, opaque))(), form)
+    rows = [(k, " ".join(fill(rng.choice(forms)) for _ in range(rng.randint(0, 5))), f"s{rng.randint(0, 5)}" if rng.random() < 0.9 else None) for k in range(150)]
+    rows += [(200 + k, f"see {pool[0]} here", "hot") for k in range(60)] + [(300, None, "a"), (301, "", None), (302, "word " * 200_000 + "password=hunter2hunter2", "b"), (None, f"token={pool[1]}", "c")]
+    rows += [(400 + k, "key Zz9yXw8vUt7sRq6pOn5m end", "one") for k in range(49)] + [(500 + k, "key Yy9yXw8vUt7sRq6pOn5m end", "one") for k in range(50)]
+    got = [tuple(r) for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()]
+    assert Counter(got) == Counter(plain_secrets(rows))
+    assert {r[5] for r in got if r[0] and 400 <= r[0] < 500} == {"opaque:4:24"} and {r[5] for r in got if r[0] and 500 <= r[0] < 600} == {""}
+
+
+def test_secrets_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token = 'Abcdef123456xyz'", "a", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, _id int, row int, spans int, doc int, id int")
+    assert secrets.redact(df).columns == df.columns and secrets.redact(df).head().text == "[SECRET]'" and secrets.digest(df).head().n_assign == 1
+
+
+def plain_scores(texts, order, mu=2.0):
     tokens = [(i, WORD.findall((t or "").translate(LOW)) + [None]) for i, t in texts]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    c, c2 = Counter(), Counter()
+    c = Counter()
     for i, w in tokens:
         if not held(i):
-            c.update(w)
-            c2.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    want = sorted((-1 if i is None else i, held(i), len(w), round(sum(math.log10(p(x)) for x in w), 6), round(sum(math.log10((c2[h, x] + 2 * p(x)) / (c[h] + 2)) for h, x in zip([None, *w[:-1]], w, strict=True)), 6)) for i, w in tokens)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scoring.score(docs).collect())
-    assert got == want
-    assert scoring.score(empty).count() == 0
+            w = [None, *w]
+            for k in range(1, len(w)):
+                c.update([tuple(w[j : k + 1]) for j in range(max(0, k - order + 1), k + 1)])
+    n, kinds = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(w, history):
+        if not history:
+            return (c[w,] + 0.1) / (n + 0.1 * (kinds + 1))
+        return (c[(*history, w)] + mu * p(w, history[1:])) / (c[history] + mu)
+
+    out = []
+    for i, w in tokens:
+        padded = [None, *w]
+        total = sum(math.log10(p(padded[k], tuple(padded[max(0, k - order + 1) : k]))) for k in range(1, len(padded)))
+        out.append((-1 if i is None else i, held(i), len(w), sum(c[x,] > 0 for x in w), n, round(sum(math.log10(p(x, ())) for x in w), 6), round(total, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scoring(spark, docs, empty, texts, order):
+    got = lambda rows: sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in rows.collect())
+    assert got(scoring.score(docs, order)) == plain_scores(texts, order)
+    assert scoring.score(empty, order).count() == 0
+    # Few kinds of words over several blocks, so that n-grams of all lengths are met again.
+    rng = random.Random(order)
+    rows = [(k, " ".join(rng.choices(["a", "b", "C", "c", "dd"], k=rng.randint(0, 9))) or None) for k in range(120)]
+    assert got(scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order)) == plain_scores(rows, order)
+
+
+def test_scoring_tells_texts_apart_that_occur_twice(spark):
+    rows = [(k, prose(k % 150 if k < 200 else k, 60)) for k in range(400)]  # texts 0 to 49 occur twice
+    got = [r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.held_out]
+    twice, once = ([r.score / r.n_tokens for r in got if (r.doc_id % 150 < 50 and r.doc_id < 200) == x] for x in (True, False))
+    cut = sorted(once)[int(0.95 * len(once))]
+    assert sum(x > cut for x in twice) > 0.6 * len(twice)
+
+
+def test_scoring_of_one_very_long_text(spark):
+    rows = [(1, " ".join(f"w{k % 977}" for k in range(300_000))), (2, "w1 w2 w3"), (3, None)]
+    got = {r.doc_id: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_tokens == 300_001 and got[2].n_known == 4
+    assert (got[2].n_tokens, round(got[2].score, 6)) == next((n, s) for i, _, n, _, _, _, s in plain_scores(rows, 3) if i == 2)
 
 
 def test_jaccard(docs, empty, texts):
@@ -154,9 +265,19 @@ def test_jaccard(docs, empty, texts):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), comp.get(i)) for (i, _), s in zip(texts, sets, strict=True))
     kept = [r.doc_id for r in jaccard.keep_first(docs).collect()]
     assert Counter(kept) == Counter([*(set(comp.values())), None])
+    assert sorted(jaccard.keep_first(docs).columns) == sorted(docs.columns)
     assert jaccard.join(empty).count() == 0
 
 
+def test_first_of_each_group_stays(spark):
+    base, other, third = prose(21, 100), prose(22, 100), prose(23, 100)
+    rows = [(5, base, "a"), (3, base + " x", "b"), (3, base + " x", "b"), (3, other, "c"), (4, other, "d"), (9, third, "e"), (None, base, "f"), (None, base, "g"), (7, None, "h"), (7, None, "h"), (8, " ", "i"), (7, "  ", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(4)
+    assert sorted(r.component_id for r in jaccard.keep_first(df).collect()) == ["b", "c", "e", "f", "g", "h", "i", "j"]
+    clash = df.selectExpr("doc_id", "text", "component_id as id", "1 as doc", "2 as hash", "3 as m", "4 as set_hash", "5 as text_hash", "6 as block")
+    assert jaccard.keep_first(clash).columns == clash.columns and jaccard.keep_first(clash).count() == 8 and jaccard.keep_first(clash.limit(0)).count() == 0
+
+
 def test_jaccard_of_repeated_rows_in_two_blocks(spark):
     base = [f"w{k}" for k in range(204)]
     shares = base[:94] + [f"v{k}" for k in range(110)]  # 90 of 200 shingles: Jaccard 0.29
@@ -198,6 +319,18 @@ def test_licenses(spark, docs, empty):
     span = licenses.scan(df, model).where("doc_id = 1").head()
     assert rows[0][1][span.start : span.end] == "Released under the MIT License."
     assert licenses.digest(empty, model).count() == 0
+    long = spark.createDataFrame([(1, prose(1, 100_000) + "\n" + "Released under the MIT License." + "\n" + prose(2, 50_000))], "doc_id long, text string")
+    assert [r.families for r in licenses.digest(long, model).collect()] == ["mit"]
+
+
+def test_licence_training_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, prose(k, 300) + "\n" + prose(k + 1, 5)) for k in range(60)] + [(None, prose(3))] * 30 + [(5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = licenses.train(df.repartition(7), sample=20, per_document=3), licenses.train(df.orderBy("text").coalesce(2), sample=20, per_document=3)
+    assert (one.weights == two.weights).all() and one.temperature == two.temperature
+    three = licenses.train(df, sample=20, per_document=4)
+    assert not (one.weights == three.weights).all()
+    assert licenses.train(df.limit(0)).families == one.families
 
 
 def test_licenses_wrapped_and_within_long_lines(spark, docs):
@@ -236,8 +369,24 @@ def test_language(spark, empty):
     assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und" and got[None].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values()) and any(r.held_out for r in got.values())
     assert language.digest(empty).count() == 0
+    # Null ids spread, many copies count once, and clashing columns stay.
+    same = spark.createDataFrame([(None, "lo mi ra tu lo", "aa")] * 500 + [(None, " ".join(rng.choices(words[v].split(), k=20)), v) for v in sorted(words) * 20], "doc_id long, text string, lang string")
+    coder = language.train(same, per_lang=10, held_out=None)
+    assert coder.langs == sorted(words) and {r.lang_pred for r in language.predict(same, coder).collect()} == set(words)
+    clash = df.selectExpr("doc_id", "text", "lang", "1 as score", "2 as _text", "'x' as lang_pred", "true as ambiguous", "3 as row")
+    kept = language.keep_told(clash, language.train(clash, held_out=None))
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows if i not in (900, 901, 902)}
+    assert language.keep_told(clash.limit(0), coder).count() == 0
+    one = language.predict(spark.createDataFrame([(1, "xyz wqk vvj kkz " * 100_000), (2, "1 " * 500_000 + "lo mi ra tu")], "doc_id long, text string"), coder).collect()
+    assert [r.lang_pred for r in one] == ["bb", "aa"]
     code = language.codewords(9)
     assert code.shape[0] == 9 and len({tuple(r) for r in code.tolist()}) == 9
+    # The nearest codeword wins by total loss, and bits that are wrong are corrected.
+    machine = language.Coder(list("abcdefghi"), code, np.eye(code.shape[1], dtype=np.float32), np.zeros(code.shape[1], np.float32))
+    wrong = code.copy()
+    wrong[:, ::13] *= -1
+    assert machine.decode(4 * wrong)[0].tolist() == list(range(9))
+    assert machine.decode(np.zeros((1, code.shape[1])))[2][0] == 0
 
 
 def test_quality(spark, docs, empty, texts):
@@ -261,6 +410,56 @@ def test_quality(spark, docs, empty, texts):
     assert quality.score(labelled, quality.train(labelled, labels.limit(0))).count() == 40
 
 
+def test_lines_of_both_kinds_are_told_apart(spark):
+    """Labels are of documents; poor ones have good lines too.  The field must find the planted lines of others."""
+    rng = random.Random(6)
+    menu = lambda: " | ".join("".join(rng.choices("abcdefghijkl", k=5)) for _ in range(rng.randint(8, 20)))
+    good = lambda: prose(rng.random(), rng.randint(20, 40))
+    rows = [(k, "\n".join(good() for _ in range(rng.randint(2, 6))), 1) for k in range(60)]
+    rows += [(100 + k, "\n".join([good()] * (k % 2) + [menu() for _ in range(rng.randint(3, 6))]), 0) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    field = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    right = total = 0
+    for _ in range(40):
+        kinds = [1] * rng.randint(1, 4) + [0] * rng.randint(1, 4) + [1] * rng.randint(1, 4)
+        text = "\n".join(good() if k else menu() for k in kinds)
+        _, lines = quality.read(next(text_slices(text)), quality.SYMBOLS)
+        found = field.viterbi(lines.bins).tolist()
+        right, total = right + sum(a == b for a, b in zip(found, kinds, strict=True)), total + len(kinds)
+    assert right >= 0.97 * total
+    mixed = spark.createDataFrame([(1, "\n".join([good(), good(), good(), menu()])), (2, "\n".join([good(), menu(), menu(), menu(), menu(), menu(), menu()]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(mixed, field).collect()}
+    assert 0.5 < got[1].content_share < 1 and got[1].kept and 0 < got[2].content_share < 0.5 and not got[2].kept
+    assert (got[1].n_content_lines, got[2].n_content_lines) == (3, 1)
+    # The verdict is the share of words on lines that the best path marks as content, and the base rule.
+    for i, text in [(r.doc_id, r.text) for r in mixed.collect()]:
+        _, lines = quality.read(next(text_slices(text)), quality.SYMBOLS)
+        best = max(itertools.product((0, 1), repeat=len(lines.bins)), key=lambda y: path_score(field, lines.bins, y))
+        share = sum(n for n, y in zip(lines.words.tolist(), best, strict=True) if y) / int(lines.words.sum())
+        assert abs(got[i].content_share - share) < 1e-12 and got[i].kept == (share >= 0.5)
+    assert {r.doc_id for r in quality.keep_quality(mixed, field).collect()} == {1}
+
+
+def text_slices(text):
+    return slices(pa.array([text]))
+
+
+def path_score(field, bins, labels):
+    return sum(field.emit[b].sum(axis=0)[y] for b, y in zip(bins, labels, strict=True)) + sum(field.move[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+
+def test_quality_of_held_out_documents(spark):
+    """Trained on one half of the labelled documents of the tables, judged on the other."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.train(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0"))
+    rest = quality.score(docs, field).where("not base_failed").join(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1"), "doc_id").collect()
+    good, poor = ([r.kept for r in rest if r.quality == y] for y in (1, 0))
+    assert len(good) > 100 and sum(good) >= 0.97 * len(good) and len(poor) > 5 and sum(poor) <= 0.1 * len(poor)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     field = quality.Field(rng.standard_normal((quality.WIDTH, 2)), rng.standard_normal((2, 2)))
