@@ -1,7 +1,9 @@
 """From raw documents to packed sequences, in five stages over the whole table.
 
 Each stage works on all that its predecessor kept; its result is written as
-Parquet and read again as the next one's documents.
+Parquet and read again as the next one's documents.  Further columns, whatever
+their names, are kept up to the last stage.  Null and blank texts go at the
+first stage; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -18,8 +20,7 @@ from shockline.llm.tokens import vocabulary
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that can be told: those without a letter, or nearest to two codewords, go."""
-    found = language.predict(docs, language.train(docs, held_out=None), columns=tuple(docs.columns))
-    return found.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    return language.keep_told(docs, language.train(docs, held_out=None))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies."""
+    """Keeps the first document, by doc_id, of each group of near copies."""
     return jaccard.keep_first(docs, n=5, percent=80)
 
 
@@ -37,7 +38,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = secrets.redact(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return found.select(*docs.columns)
+    return found
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifiers and the tokenizer can't be expressed in SQL; tests hold run() against the operators one by one.
+#: The classifiers and the tokenizer can't be expressed in SQL; tests/llm/test_pipeline.py holds run() against plain computations.
 ORACLE_SQL = None
 
 
