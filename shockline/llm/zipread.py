@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 END, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
 END64, LOCATOR64 = b"PK\x06\x06", b"PK\x06\x07"
 BIG, SHORT = 0xFFFFFFFF, 0xFFFF
@@ -33,13 +35,21 @@ class Member:
 class Package:
     def __init__(self, read: Callable[[int, int], bytes], size: int):
         self.read, self.size = read, size
-        self.members = {m.name: m for m in self._directory()}
+        try:
+            self.members = {m.name: m for m in self._directory()}
+        except (struct.error, UnicodeDecodeError, IndexError) as e:
+            raise BadPackage("broken central directory") from e
 
     @classmethod
     def of(cls, body: bytes) -> "Package":
         view = memoryview(body)
         return cls(lambda offset, length: bytes(view[offset : offset + length]), len(body))
 
+    @classmethod
+    def at(cls, file: pa.NativeFile) -> "Package":
+        """A package in an open file that can be sought in; only its directory is read."""
+        return cls(lambda offset, length: file.read_at(length, offset), file.size())
+
     def _end(self) -> tuple[int, int, int]:
         """Entries, size and offset of the central directory."""
         span = min(self.size, 22 + SHORT)
@@ -85,14 +95,16 @@ class Package:
 
     def start(self, member: Member) -> int:
         head = self.read(member.header, 30)
-        if head[:4] != LOCAL:
+        if head[:4] != LOCAL or len(head) < 30:
             raise BadPackage(f"no local header of {member.name}")
         nlen, xlen = struct.unpack_from("<HH", head, 26)
         return member.header + 30 + nlen + xlen
 
     def range(self, name: str) -> tuple[int, int]:
         """Where a stored member's bytes lie: offset and length."""
-        m = self.members[name]
+        m = self.members.get(name)
+        if m is None:
+            raise BadPackage(f"no member {name}")
         if m.method != 0 or m.packed != m.size:
             raise BadPackage(f"{name} is compressed; only stored members can be read by range")
         return self.start(m), m.size
@@ -103,6 +115,29 @@ class Package:
             raise BadPackage(f"range outside of {name}")
         return self.read(begin + offset, length)
 
+    def lines(self, name: str, chunk: int = 1 << 20) -> Iterator[str]:
+        """Lines of a stored text member, which may be a gzip file, read chunk by chunk."""
+        begin, size = self.range(name)
+        unpack = zlib.decompressobj(wbits=31) if name.endswith(".gz") else None
+        rest = b""
+        for at in range(0, size, chunk):
+            body = self.read(begin + at, min(chunk, size - at))
+            while body:
+                if unpack is None:
+                    rest, body = rest + body, b""
+                else:
+                    try:
+                        rest += unpack.decompress(body)
+                    except zlib.error as e:
+                        raise BadPackage(f"{name} is no gzip file") from e
+                    body = unpack.unused_data
+                    if unpack.eof:  # indexes are often gzip members one after the other
+                        unpack = zlib.decompressobj(wbits=31)
+                *whole, rest = rest.split(b"\n")
+                yield from (x.decode("utf-8", "replace").rstrip("\r") for x in whole)
+        if rest:
+            yield rest.decode("utf-8", "replace").rstrip("\r")
+
 
 def build(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     """A package of stored members; ZIP64 records where sizes need them, or for all if ``zip64``."""

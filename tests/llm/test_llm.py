@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 
 from shockline.llm import jaccard, language, licenses, neardup, packing, pieces, quality, scoring, secrets, shared, warc, zipread
@@ -469,20 +470,114 @@ def test_viterbi_is_the_best_path():
     assert tuple(field.viterbi(bins).tolist()) == best
 
 
-def test_archives(spark):
-    rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (-3, "http://c/", None), (4, "u", ""), (5, "u", "x" * 300_000), (None, "n", "x" * 300_000)]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")
+def packages_of(spark, folder, bodies):
+    """Packages as files, and the frame that names them."""
+    rows = []
+    for k, body in enumerate(bodies):
+        (folder / f"{k}.wacz").write_bytes(body)
+        rows.append((f"file://{folder}/{k}.wacz",))
+    return spark.createDataFrame(rows, "uri string")
+
+
+def test_archives(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (-3, "http://c/", None), (4, "u", ""), (5, "u", "x" * 300_000), (None, "n v", "x" * 300_000), (7, "w", "alone")]
+    df = spark.createDataFrame([(*r, "k", 1, "y") for r in rows], "page_id long, url string, html string, digest string, part int, uri string")
+    want = {1: ("revisit", 2), 2: ("response", None), -3: ("revisit", 4), 4: ("response", None), 5: ("response", None), None: ("revisit", 5), 7: ("response", None)}
+    for many in (100, 0):  # broadcast, and met by parts
+        decided = {r.page_id: r.response_id for r in warc.decide(df, many=many).collect()}
+        assert decided == {1: 2, 2: 2, -3: 4, 4: 4, 5: 5, None: 5, 7: None}
     packages = warc.write_packages(df, package_bytes=1000, zip64=True)
     for p in packages.collect():
-        with zipfile.ZipFile(io.BytesIO(p.content)) as z:
-            assert z.testzip() is None and set(z.namelist()) == {warc.DATA, warc.INDEX}
-    got = {r.page_id: r for r in warc.read_packages(packages).collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), -3: ("revisit", 4), 4: ("response", None), 5: ("response", None), None: ("revisit", 5)}
-    assert got[2].payload == "<p>é</p>" and got[1].payload_bytes == 9 and got[1].payload is None
+        files, place = warc.store(p.uri)
+        with files.open_input_file(place) as f, zipfile.ZipFile(io.BytesIO(f.read())) as z:
+            assert z.testzip() is None and set(z.namelist()) == {warc.DATA, warc.INDEX} and f.size() == p.size
+    got = {r.page_id: r for r in warc.read_packages(packages, spread=100, ahead=50).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == want
+    assert got[2].payload == "<p>é</p>" and got[1].payload_bytes == 9 and got[1].payload is None and got[None].url == "n v"
+    whole = warc.write_packages(df.coalesce(1), folder=str(tmp_path / "out"))
+    assert whole.count() == 1 and len(list((tmp_path / "out").iterdir())) == 1
+    assert Counter(map(tuple, warc.read_packages(whole).collect())) == Counter(tuple(r) for r in got.values())
+    contents = spark.read.format("binaryFile").load(str(tmp_path / "out"))
+    assert Counter(map(tuple, warc.read_contents(contents).collect())) == Counter(tuple(r) for r in got.values())
     assert warc.digest(df.limit(0)).count() == 0
     assert {r.record_type for r in warc.read_packages(warc.write_packages(df, least_bytes=10**9)).collect()} == {"response"}
 
 
+def other_archive(extra=b"", index=None, name="indexes/index.cdx.gz", method=zipfile.ZIP_STORED):
+    """A package as another writer makes it: plain records of several kinds, a gzipped CDX index, two archives."""
+    import gzip
+
+    record = lambda kind, block, *more: b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:6f9a>\r\n" + b"".join(m + b"\r\n" for m in more) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    one = [record(b"warcinfo", b"software: z"), record(b"response", http + b"hello", b"Content-Type: application/http; msgtype=response", b"WARC-Target-URI: http://h/")]
+    two = [gzip.compress(record(b"revisit", http, b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:ABC")), gzip.compress(record(b"resource", "gr\u00fcn".encode("latin-1")))]
+    lines = [" CDX N b a m s k r M S V g"]
+    for file, parts in (("one.warc", one), ("two.warc.gz", two)):
+        at = 0
+        for part in parts:
+            lines.append(f"h)/ 2024 http://h/ text/html 200 X - - {len(part)} {at} {file}")
+            at += len(part)
+    body = "\n".join(lines).encode() if index is None else index
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("archive/one.warc", b"".join(one) + extra)
+        z.writestr("archive/two.warc.gz", b"".join(two))
+        z.writestr(name, gzip.compress(body) if name.endswith(".gz") else body)
+        z.writestr("datapackage.json", "{}")
+    return out.getvalue()
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    got = [tuple(r)[3:] for r in warc.read_packages(packages_of(spark, tmp_path, [other_archive()])).collect()]
+    assert sorted(got, key=repr) == sorted([("warcinfo", warc.base32_sha1(b"software: z"), 11, None, "software: z"), ("response", warc.base32_sha1(b"hello"), 5, None, "hello"), ("revisit", "ABC", None, None, None), ("resource", warc.base32_sha1(b"gr\xfcn"), 4, None, "gr\ufffdn")], key=repr)
+
+
+def test_broken_archives_are_told(tmp_path):
+    def read(body):
+        package = zipread.Package.of(body)
+        return [warc.told(package.read(b, n), True) for b, n in warc.ranges(package)]
+
+    good = other_archive()
+    assert len(read(good)) == 4
+    no_index, outside, junk = other_archive(name="other/index.cdx"), other_archive(index=b'h 2024 {"offset": "5", "length": "9999999", "filename": "one.warc"}'), other_archive(index=b"what is this")
+    amiss, unknown = other_archive(index=b'h 2024 {"offset": "5", "length": "9", "filename": "one.warc"}'), other_archive(index=b'h 2024 {"offset": "5", "length": "9", "filename": "none"}')
+    for body in (b"", b"nothing", good[:-30], good[: len(good) // 2], good.replace(b"PK\x01\x02", b"PK\x01\x03"), no_index, outside, junk, amiss, unknown, other_archive(method=zipfile.ZIP_DEFLATED), good.replace(b"Content-Length: 11", b"Content-Length: 99")):
+        with pytest.raises(zipread.BadPackage):
+            read(body)
+    assert read(zipread.build([("archive/a", b""), ("indexes/x.cdxj", b"!meta\n\n")], zip64=True)) == []
+
+
+def test_packages_are_read_by_range(tmp_path):
+    """Of a package with a member of over 4 GB, which lies sparse on the disk, only the directory and two ranges are read."""
+    place, big = tmp_path / "big.wacz", 5 << 30
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    index = b'u 2024 {"offset": "%d", "length": "%d", "filename": "a.warc"}\n' % (big - len(record), len(record))
+    small = zipread.build([("archive/a.warc", b""), ("indexes/i.cdxj", index)], zip64=True)
+    first, second = small.index(b"PK\x03\x04", 4), small.index(b"PK\x01\x02")
+    end64 = small.index(b"PK\x06\x06")
+    patched = bytearray(small)
+    for at, value in ((second + 46 + len("archive/a.warc") + 4, big), (second + 46 + len("archive/a.warc") + 12, big)):
+        patched[at : at + 8] = value.to_bytes(8, "little")
+    other = small.index(b"PK\x01\x02", second + 4) + 46 + len("indexes/i.cdxj") + 20
+    patched[other : other + 8] = (first + big).to_bytes(8, "little")
+    patched[end64 + 48 : end64 + 56] = (second + big).to_bytes(8, "little")
+    locator = small.index(b"PK\x06\x07")
+    patched[locator + 8 : locator + 16] = (end64 + big).to_bytes(8, "little")
+    with place.open("wb") as f:
+        f.write(patched[:first])
+        f.seek(first + big - len(record))
+        f.write(record)
+        f.write(patched[first:])
+    taken = []
+    with pafs.LocalFileSystem().open_input_file(str(place)) as f:
+        package = zipread.Package.at(f)
+        plain = package.read
+        package.read = lambda offset, length: taken.append(length) or plain(offset, length)
+        assert package.members["archive/a.warc"].size == big
+        assert [warc.told(package.read(b, n), True)[3:] for b, n in warc.ranges(package)] == [("resource", warc.base32_sha1(b"ok"), 2, None, "ok")]
+    assert sum(taken) < 1000
+
+
 def test_zip_packages():
     body = zipread.build([("a", b"hello"), ("b/c", b"")])
     assert zipread.Package.of(body + b"").part("a", 1, 3) == b"ell"
@@ -493,8 +588,9 @@ def test_zip_packages():
         z.writestr(zipfile.ZipInfo("packed"), b"aaaa" * 100, zipfile.ZIP_DEFLATED)
     package = zipread.Package.of(out.getvalue())
     assert package.part("x", 0, 5) == b"12345"
-    with pytest.raises(zipread.BadPackage):
-        package.range("packed")
+    for name in ("packed", "missing"):
+        with pytest.raises(zipread.BadPackage):
+            package.range(name)
     with pytest.raises(zipread.BadPackage):
         zipread.Package.of(b"nothing")
 
