@@ -161,7 +161,7 @@ def l1_test_catalog(spark, d):
     classes = part.select(F.lit(REPO).alias("repo"), _id("p", "p_partkey").alias("fqn"), F.lit("class").alias("type"), _id("p", "p_partkey").alias("name"), F.lit("t.php").alias("file"), _no_text().alias("parent"), F.array().cast("array<string>").alias("attributes"))
     pairs, s = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct(), F.col("l_suppkey")
     name = F.concat(F.when(s % 3 == 0, "test").otherwise("m"), s.cast("string"))
-    methods = pairs.select(F.lit(REPO).alias("repo"), F.concat_ws("::", _id("p", "l_partkey"), name).alias("fqn"), F.lit("method").alias("type"), name.alias("name"), F.lit("t.php").alias("file"), _id("p", "l_partkey").alias("parent"), F.when(s % 3 == 1, F.array(F.lit("Test"))).alias("attributes"))
+    methods = pairs.select(F.lit(REPO).alias("repo"), F.concat_ws("::", _id("p", "l_partkey"), name).alias("fqn"), F.lit("method").alias("type"), name.alias("name"), F.lit("t.php").alias("file"), _id("p", "l_partkey").alias("parent"), F.when(s % 3 == 1, F.array(F.lit(affected_tests.ATTRIBUTE))).otherwise(F.array(F.lit("Test"))).alias("attributes"))
     above = F.when(k % 10 == 0, F.lit(affected_tests.BASE_CLASS)).when(k % 10 == 7, "Other").otherwise(F.concat(F.lit("p"), F.when(k % 10 < 5, k - k % 10).otherwise(k - 1).cast("string")))
     parents = part.select(F.lit(REPO).alias("repo"), _id("p", "p_partkey").alias("source"), above.alias("target"), F.lit("extends").alias("type"))
     return affected_tests.test_catalog(classes.unionByName(methods), parents).select("id", "kind")
@@ -186,24 +186,6 @@ def l4_test_counts(spark, d):
     return affected_tests.test_counts(_test_impact(spark, d, origins(spark, d))).select("change_id", "direct", "indirect")
 
 
-@query(
-    "l7_change_digest",
-    rf"""WITH RECURSIVE {REACH}, a AS (SELECT change_id, list(symbol ORDER BY symbol) AS l FROM x GROUP BY change_id),
-    b AS (SELECT change_id, list(impacted_symbol || ' (depth ' || depth || ')' ORDER BY depth, impacted_symbol) AS l FROM en GROUP BY change_id),
-    f AS (SELECT 'r' || n_regionkey AS change_id, list('inheritance_chain: n' || n_nationkey || ' -> r' || n_regionkey ORDER BY 'n' || n_nationkey) AS l FROM nation GROUP BY ALL),
-    j AS (SELECT change_id, a.l AS a, coalesce(b.l, ['none']) AS b, coalesce(f.l, ['none']) AS f FROM a LEFT JOIN b USING (change_id) LEFT JOIN f USING (change_id))
-    SELECT change_id, 'Changed symbols:' || chr(10) || '  ' || array_to_string(CASE WHEN len(a) > 20 THEN list_append(a[:20], 'and ' || (len(a) - 20) || ' more') ELSE a END, chr(10) || '  ')
-        || chr(10) || chr(10) || 'Blast radius:' || chr(10) || '  ' || array_to_string(CASE WHEN len(b) > 20 THEN list_append(b[:20], 'and ' || (len(b) - 20) || ' more') ELSE b END, chr(10) || '  ')
-        || chr(10) || chr(10) || 'Affected flows:' || chr(10) || '  ' || array_to_string(CASE WHEN len(f) > 20 THEN list_append(f[:20], 'and ' || (len(f) - 20) || ' more') ELSE f END, chr(10) || '  ') AS digest FROM j""",
-)
-def l7_change_digest(spark, d):
-    e, ids = cut(edges(spark, d)), changes(spark, d)
-    entries = impact.blast_depths(impact.blast_origins(ids, e))
-    found = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e))
-    return reports.change_digest(ids, entries, found).select("change_id", "digest")
-
-
-
 def _listed(l: str, limit: int, more: str) -> str:
     return f"CASE WHEN len({l}) > {limit} THEN list_append({l}[:{limit}], '{more}' || (len({l}) - {limit}) || ' more') ELSE {l} END"
 
@@ -230,7 +212,7 @@ def _counted(n: str, one: str) -> str:
     s5 AS (SELECT change_id, list(file || chr(10) || {_counted("k", "commit")} ORDER BY k DESC, file) AS h FROM cm WHERE k >= 10 GROUP BY change_id),
     s6 AS (SELECT change_id, list(title ORDER BY rank) AS l6 FROM rf JOIN (VALUES ('high_fan_in', 1, 'High fan-in'), ('large_blast_radius', 2, 'Large blast radius'), ('deep_impact', 3, 'Deep dependency chain'),
         ('multiple_dependency_types', 4, 'Multiple dependency types'), ('multiple_changed_symbols', 5, 'Multiple changed symbols')) c(code, rank, title) ON c.code = rf.code WHERE severity IS NOT NULL GROUP BY change_id)
-    SELECT change_id, array_to_string(['{reports.MARKER}', 'Code impact analysis' || chr(10), 'Risk: ' || score || ' / 100 (' || level || ')',
+    SELECT change_id, array_to_string(['{reports.MARKER}', '{reports.TITLE}' || chr(10), 'Risk: ' || score || ' / ' || level,
         {_section("Changed symbols", _listed("l1", 8, "… and "))}, {_section("Blast radius", "l2")}, {_section("Affected flows", "l3")}, {_section("Test impact", "l4")},
         {_section("Historical churn", "[array_to_string(h[:5], chr(10) || chr(10)) || CASE WHEN len(h) > 5 THEN chr(10) || '… and ' || (len(h) - 5) || ' more' ELSE '' END]")}, {_section("⚠ Risk factors", "l6")},
         chr(10) || 'See full analysis in the workflow artifact.'], chr(10)) AS comment
@@ -246,35 +228,6 @@ def l6_comment(spark, d):
     return reports.comment(risk.risk_scores(ids, factors), typed, c.entries, found, _test_impact(spark, d, reached), c.churn, factors).select("change_id", "comment")
 
 
-@query(
-    "l7_test_digest",
-    f"""WITH RECURSIVE {TESTS},
-    b AS (SELECT change_id, list(impacted_symbol || ' (depth ' || depth || ')' ORDER BY depth, impacted_symbol) AS l FROM en GROUP BY change_id),
-    t AS (SELECT change_id, list(test_symbol || ' (' || CASE WHEN depth <= 1 THEN 'direct' ELSE 'indirect' END || ', from ' || changed_symbol || ')' ORDER BY depth, test_symbol, changed_symbol) AS l FROM ti GROUP BY change_id),
-    j AS (SELECT change_id, CASE WHEN len(b.l) >= 20 THEN list_append(list_prepend('symbols: ' || len(b.l), b.l[:19]), 'and 1 more') WHEN b.l IS NULL THEN ['none'] ELSE list_prepend('symbols: ' || len(b.l), b.l) END AS b, coalesce(t.l, ['none']) AS t
-        FROM (SELECT DISTINCT change_id FROM x) LEFT JOIN b USING (change_id) LEFT JOIN t USING (change_id))
-    SELECT change_id, 'Blast radius:' || chr(10) || '  ' || array_to_string(b, chr(10) || '  ') || chr(10) || chr(10) || 'Affected tests:' || chr(10) || '  ' || array_to_string({_listed("t", 20, "and ")}, chr(10) || '  ') AS digest FROM j""",
-)
-def l7_test_digest(spark, d):
-    found = cut(origins(spark, d))
-    rows = changes(spark, d).select("repo", "change_id").distinct()
-    return reports.test_digest(rows, impact.blast_depths(found), _test_impact(spark, d, found)).select("change_id", "digest")
-
-
-@query(
-    "a6_json_report",
-    f"""WITH {EDGES}, i AS (SELECT x.change_id, x.symbol AS changed_symbol, e.source AS impacted_symbol, e.type AS dependency_type FROM x JOIN e ON e.target = x.symbol WHERE e.source <> e.target),
-    s AS (SELECT change_id, list({{'symbol': symbol}} ORDER BY symbol) AS l FROM x GROUP BY change_id),
-    g AS (SELECT change_id, list({{'changed_symbol': changed_symbol, 'impacted_symbol': impacted_symbol, 'dependency_type': dependency_type}} ORDER BY changed_symbol, impacted_symbol, dependency_type) AS l FROM i GROUP BY change_id)
-    SELECT change_id, to_json({{'status': 'success', 'changed_symbols': s.l, 'direct_impact': coalesce(g.l, [])}})::VARCHAR AS report FROM s LEFT JOIN g USING (change_id)""",
-)
-def a6_json_report(spark, d):
-    ids = changes(spark, d)
-    direct = impact.direct_impact(ids, edges(spark, d)).select("repo", "change_id", "changed_symbol", "impacted_symbol", "dependency_type")
-    rows = reports.json_report(ids, {"changed_symbols": (ids.select("repo", "change_id", "symbol"), ["symbol"]), "direct_impact": (direct, ["changed_symbol", "impacted_symbol", "dependency_type"])})
-    return rows.select("change_id", "report")
-
-
 #: Parts are classes: every seventh a controller, the next one its subclass; every 11th is queued, every 13th an event.
 #: Events are calls about a class of number ``c``; ``named`` ones also name its method.
 PROJECT = """v AS (SELECT 'u' || user_id AS u, event_id % 8 AS k, event_id % 200 AS c, event_id % 3 = 0 AS named FROM events),

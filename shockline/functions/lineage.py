@@ -1,19 +1,37 @@
 """Cutting the lineage of iterative jobs."""
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table to spark.checkpoint.dir (a new local folder where that is unset, as in tests) and read from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and the master is local, as in tests, a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    if folder:
+        return folder
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written as a table to the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """df, written in buckets of the keys, so that joins on them don't shuffle it again."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the plan knows them
+    return table

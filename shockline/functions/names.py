@@ -27,11 +27,5 @@ def is_php(path: Column) -> Column:
     return F.lower(path).endswith(".php")
 
 
-def summarize(lines: Column, limit: int) -> Column:
-    """The first lines of an array, and how many more there are; ``None`` for an empty one."""
-    more = F.concat(F.slice(lines, 1, limit), F.array(F.concat(F.lit("… and "), (F.size(lines) - limit).cast("string"), F.lit(" more"))))
-    return F.when(F.size(lines) == 0, F.array(F.lit("None"))).when(F.size(lines) > limit, more).otherwise(lines)
-
-
 def plural(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, " " + one).otherwise(" " + many))

@@ -41,34 +41,43 @@ def resolve(sites: DataFrame, bindings: DataFrame, property_types: DataFrame, co
 
     property_types(repo, class, prop, type): properties with one named type.
     constructors(repo, file, class): classes whose constructor the file declares.
+    Calls on variables pass a window; all other sites are read once, looked up
+    in one table of properties and constructors, and turned into their edges.
     """
-    own, parent = F.col("scope_class"), F.col("scope_parent")
-    calls = sites.where("kind = 'method_call' and name is not null")
-    var = as_of_types(calls.where("receiver_kind = 'var'"), bindings)
-    this = calls.where("receiver_kind = 'this'").withColumn("receiver_type", own)
-    made = calls.where("receiver_kind = 'new'").withColumn("receiver_type", class_name(F.col("receiver_name"), own, parent))
-    props = property_types.select("repo", F.col("class").alias("scope_class"), F.col("prop").alias("receiver_name"), F.col("type").alias("receiver_type"))
-    prop = calls.where("receiver_kind = 'prop'").join(props, ["repo", "scope_class", "receiver_name"], "left").select(*var.columns)
-    methods = var.unionByName(this).unionByName(made).unionByName(prop).where("receiver_type is not null")
-    out = [methods.select("repo", "file", F.col("scope_symbol").alias("source"), F.concat_ws("::", "receiver_type", "name").alias("target"), F.lit("method_call").alias("type"), "line")]
-    named = sites.withColumn("class", class_name(F.col("receiver_name"), own, parent)).where("class is not null")
-    static = named.where("kind = 'static_call' and name is not null")
-    out.append(static.select("repo", "file", F.col("scope_symbol").alias("source"), F.concat_ws("::", "class", "name").alias("target"), F.lit("static_call").alias("type"), "line"))
-    declared = constructors.select("repo", "file", "class", F.lit(True).alias("declared")).distinct()
-    news = named.where("kind = 'new'").join(declared, ["repo", "file", "class"], "left")
-    target = F.when(F.col("declared"), F.concat("class", F.lit("::__construct"))).otherwise(F.col("class"))
-    out.append(news.select("repo", "file", F.col("scope_symbol").alias("source"), target.alias("target"), F.lit("constructor_call").alias("type"), "line"))
-    typed = sites.where(F.col("kind").isin(*TYPE_KINDS)).withColumn("part", F.explode("type_names"))
-    typed = typed.withColumn("target", class_name(F.col("part"), own, parent)).where("target is not null")
+    own, parent, here = F.col("scope_class"), F.col("scope_parent"), F.col("scope_symbol")
+    on_var = (F.col("kind") == "method_call") & (F.col("receiver_kind") == "var")
+    edge = lambda source, target, kind: F.struct(source.alias("source"), target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"))
+    member = lambda of: F.when(of.isNotNull() & F.col("name").isNotNull(), F.concat(of, F.lit("::"), "name"))
+    var = as_of_types(sites.where(on_var), bindings)
+    calls = var.select("repo", "file", here.alias("source"), member(F.col("receiver_type")).alias("target"), F.lit("method_call").alias("type"), "line")
+
+    class_ = class_name(F.col("receiver_name"), own, parent)
+    is_prop, is_new = (F.col("kind") == "method_call") & (F.col("receiver_kind") == "prop"), F.col("kind") == "new"
+    key = lambda *parts: F.concat_ws("\x1f", *parts)
+    # Sites that look nothing up get keys of their own, so that no key is common to them all.
+    wanted = F.when(is_prop, key(F.lit("p"), own, "receiver_name")).when(is_new, key(F.lit("c"), "file", class_)).otherwise(key(F.lit("n"), here, F.col("seq").cast("string")))
+    props = property_types.select("repo", key(F.lit("p"), "class", "prop").alias("key"), F.col("type").alias("found"))
+    known = props.unionByName(constructors.select("repo", key(F.lit("c"), "file", "class").alias("key"), F.lit("").alias("found")).distinct())
+    rest = sites.where(~F.coalesce(on_var, F.lit(False))).withColumn("key", wanted).join(known, ["repo", "key"], "left")
+
+    receiver = F.when(F.col("receiver_kind") == "this", own).when(F.col("receiver_kind") == "new", class_).when(F.col("receiver_kind") == "prop", F.col("found"))
+    made = F.when(F.col("found").isNotNull(), F.concat(class_, F.lit("::__construct"))).otherwise(class_)
     kinds = F.create_map(*(F.lit(x) for pair in TYPE_KINDS.items() for x in pair))
-    source = F.when(F.col("kind").isin("parameter", "return"), F.col("scope_symbol")).otherwise(own)
-    out.append(typed.select("repo", "file", source.alias("source"), "target", kinds[F.col("kind")].alias("type"), "line"))
-    promoted = typed.where("kind = 'parameter' and receiver_kind = 'promoted'")
-    out.append(promoted.select("repo", "file", own.alias("source"), "target", F.lit("property_type").alias("type"), "line"))
-    rows = out[0]
-    for other in out[1:]:
-        rows = rows.unionByName(other)
-    return rows
+    source = F.when(F.col("kind").isin("parameter", "return"), here).otherwise(own)
+    parts = F.transform("type_names", lambda t: edge(source, class_name(t, own, parent), kinds[F.col("kind")]))
+    promoted = F.transform("type_names", lambda t: edge(own, class_name(t, own, parent), "property_type"))
+    is_promoted = (F.col("kind") == "parameter") & (F.col("receiver_kind") == "promoted")
+    none = F.array().cast("array<struct<source:string,target:string,type:string>>")
+    edges = (
+        F.when(F.col("kind") == "method_call", F.array(edge(here, member(receiver), "method_call")))
+        .when(F.col("kind") == "static_call", F.array(edge(here, member(class_), "static_call")))
+        .when(is_new, F.array(edge(here, made, "constructor_call")))
+        .when(is_promoted, F.concat(parts, promoted))
+        .when(F.col("kind").isin(*TYPE_KINDS), parts)
+        .otherwise(none)
+    )
+    other = rest.select("repo", "file", "line", F.explode(edges).alias("e")).select("repo", "file", "e.source", "e.target", "e.type", "line")
+    return calls.unionByName(other).where("target is not null")
 
 
 def aggregate(resolved: DataFrame) -> DataFrame:
@@ -77,11 +86,16 @@ def aggregate(resolved: DataFrame) -> DataFrame:
 
 
 def merge(*results: DataFrame) -> DataFrame:
-    """Dependencies of several inputs in (source, target, type, first line) order."""
+    """Dependencies of several inputs together."""
     rows = results[0]
     for other in results[1:]:
         rows = rows.unionByName(other)
-    return rows.orderBy("repo", "source", "target", "type", F.element_at("lines", 1))
+    return rows
+
+
+def listed_dependencies(rows: DataFrame) -> DataFrame:
+    """In (source, target, type, first line) order, for a sink."""
+    return rows.orderBy("repo", "source", "target", "type", F.get("lines", F.lit(0)))
 
 
 def of_changed_files(dependencies: DataFrame, files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockline.functions.lineage import cut
+from shockline.functions.lineage import cut, cut_by
 
 
 def direct_impact(changed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -21,31 +21,43 @@ def impacted_symbols(impact: DataFrame) -> DataFrame:
     )
 
 
+def reach_depths(origins: DataFrame, steps: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """repo, origin, node, depth: what each (repo, origin) reaches backwards, itself included at 0.
+
+    steps(repo, source, target) without self-edges.  One join per level, of ids
+    alone; every level is written, so none is computed again.  ``max_rounds``
+    raises rather than leaving rows out.
+    """
+    frontier = cut(origins.select("repo", "origin").distinct().select("repo", "origin", F.col("origin").alias("node"), F.lit(0).alias("depth")))
+    seen = frontier
+    for depth in range(1, max_rounds + 1):
+        met = frontier.select("repo", "origin", F.col("node").alias("target")).join(steps.select("repo", "source", "target"), ["repo", "target"])
+        met = met.select("repo", "origin", F.col("source").alias("node")).distinct()
+        frontier = cut(met.join(seen, ["repo", "origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"blast radius not complete after {max_rounds} rounds")
+
+
 def reach(origins: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Walks edges backwards from each (repo, origin) to the fixed point.
 
     repo, origin, impacted, depth and the evidence: every edge (impacted -> target)
-    that arrives at the shortest depth.  One join per level over edges that can
-    be on a frontier; ``max_rounds`` raises rather than leaving rows out.
+    that arrives at the shortest depth.  Edges whose target can't be on a
+    frontier are left out first; the others are bucketed by target for all the
+    levels' joins.  The evidence is joined once, at the end: its edges lead from
+    one depth to the one before.
     """
-    origins = origins.select("repo", "origin").distinct()
-    steps = edges.where("source <> target")
-    live = steps.select("repo", F.col("source").alias("target")).unionByName(origins.select("repo", F.col("origin").alias("target"))).distinct()
-    steps = cut(steps.join(live, ["repo", "target"], "left_semi").repartition("repo", "target"))
-    frontier = cut(origins.withColumn("node", F.col("origin")))
-    seen, levels = frontier, None
-    for depth in range(1, max_rounds + 1):
-        met = frontier.withColumnRenamed("node", "target").join(steps, ["repo", "target"]).withColumnRenamed("source", "node")
-        new = cut(met.join(seen, ["repo", "origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            break
-        levels = new if levels is None else levels.unionByName(new)
-        frontier = new.select("repo", "origin", "node").distinct()
-        seen = seen.unionByName(frontier)
-    else:
-        raise RuntimeError(f"blast radius not complete after {max_rounds} rounds")
-    found = levels if levels is not None else steps.join(frontier.limit(0), "repo").withColumn("depth", F.lit(0))
-    return found.select("repo", "origin", F.col("node").alias("impacted"), "depth", "target", F.col("type").alias("dependency_type"), "lines", "occurrences")
+    starts = origins.select("repo", F.col("origin").alias("target")).distinct()
+    steps = edges.where("source <> target").select("repo", "source", "target", "type", "lines", "occurrences")
+    live = steps.select("repo", F.col("source").alias("target")).unionByName(starts).distinct()
+    steps = cut_by(steps.join(live, ["repo", "target"], "left_semi"), "repo", "target")
+    reached = reach_depths(origins, steps, max_rounds)
+    later = reached.where("depth > 0").select("repo", "origin", F.col("node").alias("source"), "depth")
+    back = reached.select("repo", "origin", F.col("node").alias("target"), (F.col("depth") + 1).alias("depth"))
+    found = back.join(steps, ["repo", "target"]).join(later, ["repo", "origin", "source", "depth"])
+    return found.select("repo", "origin", F.col("source").alias("impacted"), "depth", "target", F.col("type").alias("dependency_type"), "lines", "occurrences")
 
 
 def blast_origins(changed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,8 +71,9 @@ def blast_origins(changed: DataFrame, edges: DataFrame) -> DataFrame:
 
 def blast_radius(origins: DataFrame) -> DataFrame:
     """Entries per change and impacted symbol: shortest depth, and its origins in order."""
-    each = F.struct("changed_symbol", "depth", "dependency_type", "target", "lines", "occurrences")
-    return origins.groupBy("repo", "change_id", "impacted_symbol").agg(F.min("depth").alias("depth"), F.array_sort(F.collect_list(each)).alias("origins"))
+    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(0)).alias("line")
+    each = F.struct("changed_symbol", "depth", "dependency_type", "target", first, "lines", "occurrences")
+    return origins.groupBy("repo", "change_id", "impacted_symbol").agg(F.min("depth").alias("depth"), F.transform(F.array_sort(F.collect_list(each)), lambda x: x.dropFields("line")).alias("origins"))
 
 
 def blast_depths(origins: DataFrame) -> DataFrame:

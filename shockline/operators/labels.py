@@ -68,7 +68,7 @@ def label_impact(annotations: DataFrame, entries: DataFrame, flows: DataFrame) -
 
 
 def resolve_facades(facts: DataFrame, classes: DataFrame, column: str = "callee_class") -> DataFrame:
-    """Facade short names become full names unless the project defines a class of that name (repo, class)."""
+    """Facade short names become full names unless the project defines a class, interface or trait of that name (repo, class)."""
     full = F.create_map(*(F.lit(x) for pair in FACADES.items() for x in pair))[F.col(column)]
     own = classes.select("repo", F.col("class").alias(column), F.lit(True).alias("_own")).distinct()
     rows = facts.join(own, ["repo", column], "left")
@@ -78,7 +78,10 @@ def resolve_facades(facts: DataFrame, classes: DataFrame, column: str = "callee_
 
 @dataclass
 class Project:
-    """symbols, parents(repo, child, parent), interfaces and traits (repo, class, name), calls; the closure is shared by the rules."""
+    """symbols, parents(repo, child, parent), interfaces and traits (repo, class, name), calls; the closure is shared by the rules.
+
+    symbols may have ``is_abstract``; without it no method is abstract.
+    """
 
     symbols: DataFrame
     parents: DataFrame
@@ -89,11 +92,13 @@ class Project:
     def __post_init__(self) -> None:
         classes = self.symbols.where("type = 'class'").select("repo", F.col("fqn").alias("class"))
         self.classes = classes.distinct()
+        named = self.symbols.where("type in ('class', 'interface', 'trait')").select("repo", F.col("fqn").alias("class"))
         for column in ("callee_class", "arg_class"):
-            self.calls = resolve_facades(self.calls, classes, column)
+            self.calls = resolve_facades(self.calls, named, column)
         every = self.parents.select("repo", "child", "parent").unionByName(classes.select("repo", F.col("class").alias("child"), F.col("class").alias("parent")))
         self.closure = ancestors(every)
-        self.methods = self.symbols.where("type = 'method'").select("repo", F.col("parent").alias("class"), F.col("name").alias("method"), F.col("fqn").alias("method_id"), "visibility", "attributes")
+        abstract = F.coalesce("is_abstract", F.lit(False)) if "is_abstract" in self.symbols.columns else F.lit(False)
+        self.methods = self.symbols.where("type = 'method'").select("repo", F.col("parent").alias("class"), F.col("name").alias("method"), F.col("fqn").alias("method_id"), "visibility", abstract.alias("is_abstract"))
 
     def extending(self, *names: str) -> DataFrame:
         """repo, class of the classes that are, or extend at any distance, one of the names."""
@@ -134,7 +139,7 @@ def controllers(p: Project) -> DataFrame:
     """Public actions of controllers, and the targets of route registrations."""
     own = p.classes.join(p.extending(CONTROLLER), ["repo", "class"], "left_semi")
     action = ~F.col("method").isin(NON_ACTIONS) & (~F.col("method").startswith("__") | (F.col("method") == "__invoke"))
-    concrete = ~F.coalesce(F.array_contains("attributes", "abstract"), F.lit(False))
+    concrete = ~F.col("is_abstract")
     public = p.methods.where((F.coalesce("visibility", F.lit("public")) == "public") & action & concrete).join(own, ["repo", "class"], "left_semi")
     routes = p.calls.where((F.col("kind") == "static") & (F.col("callee_class") == FACADES["Route"]) & F.col("name").isin(ROUTE_METHODS) & F.col("arg_class").isNotNull())
     routes = p.with_method(routes, "__invoke", "invokable", "arg_class")

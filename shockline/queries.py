@@ -254,13 +254,17 @@ def c3_unmapped_lines(spark, d):
     return changed.unmapped_lines(_files(spark, d), symbols(spark, d)).select("side", "file", _joined("lines").alias("lines"))
 
 
+#: An added line that begins with ``++ `` is read as a header line: it names the path and isn't counted.
 @query(
     "b_changed_files",
-    r"""SELECT doc_id, 'd' || doc_id || '.php' AS path, 'added' AS change_type, len(regexp_split_to_array(text, '\r\n|\n|\r'))::BIGINT AS n_added, (len(regexp_split_to_array(text, '\r\n|\n|\r')) * (len(regexp_split_to_array(text, '\r\n|\n|\r')) + 1) // 2)::BIGINT AS sum_added
-    FROM documents WHERE NOT regexp_matches(text, '(^|[\r\n])\+\+ ')""",
+    r"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, len(list_filter(ls, lambda x: NOT starts_with(x, '++ ')))::BIGINT AS n, list_filter(list_transform(list_filter(ls, lambda x: starts_with(x, '++ ')), lambda x: split_part(x[4:], chr(9), 1)), lambda x: x NOT IN ('/dev/null', '"/dev/null"')) AS heads FROM l),
+    q AS (SELECT doc_id, n, coalesce(heads[-1], 'b/d' || doc_id || '.php') AS raw FROM h),
+    u AS (SELECT doc_id, n, CASE WHEN len(raw) >= 2 AND starts_with(raw, '"') AND ends_with(raw, '"') THEN raw[2:-2] ELSE raw END AS bare FROM q)
+    SELECT doc_id, CASE WHEN starts_with(bare, 'a/') OR starts_with(bare, 'b/') THEN bare[3:] ELSE bare END AS path, 'added' AS change_type, n AS n_added, (n * (n + 1) // 2)::BIGINT AS sum_added FROM u""",
 )
 def b_changed_files(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|[\r\n])\+\+ "))
+    docs = table(spark, d, "documents")
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".php"))
     n = F.size(F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n"))
     plus = F.array_join(F.transform(F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
@@ -388,11 +392,3 @@ def a5_configuration(spark, d):
     item = F.struct(F.col("event_type").alias("symbol"), F.lit("event").alias("type"))
     configs = table(spark, d, "events").select(F.lit(REPO).alias("repo"), F.to_json(F.struct(F.array(item).alias("semantic_annotations"))).alias("json"))
     return inputs.configuration(configs)[0].select("symbol", "type")
-
-
-@query("l5_summary", f"WITH RECURSIVE {REACH} SELECT change_id, count(*) AS blast FROM en GROUP BY change_id")
-def l5_summary(spark, d):
-    c = _context(spark, d)
-    scores = risk.risk_scores(c.changed, risk.risk_factors(c))
-    none = spark.createDataFrame([], "repo string, change_id string, changed_symbol string, test_symbol string, test_file string, depth int, impact string")
-    return reports.summary(scores, c.changed, c.entries, none).select("change_id", "blast")
