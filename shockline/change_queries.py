@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shockline.functions.lineage import cut, shared_folder
 from shockline.operators import affected_tests, changed, churn, deps, diffs, flows, graph, impact, labels, reports, risk
 from shockline.plans import jobs
-from shockline.queries import EDGES, REPO, _id, _joined, edges, query, symbols, table
+from shockline.queries import EDGES, REPO, RISK, _context, _id, _joined, edges, query, symbols, table
 from shockline.sources import inputs
 
 # A cyclic graph of parts, in two repositories that share their ids: even and odd order keys.
@@ -409,3 +409,90 @@ def a2_diff_texts(spark, d):
     mode = F.concat(F.lit("b"), F.url_decode(F.regexp_extract("file", "l_returnflag=([^/]+)", 1)))
     files = diffs.changed_files(read.select(F.lit(REPO).alias("repo"), mode.alias("change_id"), "diff_text"))
     return files.groupBy(F.col("change_id").alias("path")).agg(F.count("*").alias("files"))
+
+
+@query("a3_log_texts", "SELECT l_returnflag AS flag, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS lines_added FROM lineitem GROUP BY ALL")
+def a3_log_texts(spark, d):
+    """Commit logs as whole files: written, read back by path, and parsed."""
+    base = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    stat = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("\t0\tf\n"))
+    head = F.concat(F.lit("\x1e"), F.concat_ws("\x1f", F.lpad(F.hex("l_orderkey"), 8, "0"), F.lit("Al"), F.lit("a@x"), F.lit("2024-01-01T00:00:00Z")), F.lit("\n\n"))
+    records = table(spark, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.concat(F.first(head), F.array_join(F.collect_list(stat), "")).alias("record"))
+    logs = records.groupBy("l_returnflag").agg(F.array_join(F.collect_list("record"), "").alias("value"))
+    logs.repartition("l_returnflag").write.partitionBy("l_returnflag").text(base)
+    read = inputs.texts(spark, base, "log_text").select(F.lit(REPO).alias("repo"), F.regexp_extract("file", "l_returnflag=([^/]+)", 1).alias("path"), "log_text")
+    return churn.commit_files(read).groupBy(F.col("path").alias("flag")).agg(F.count("*").alias("commits"), F.sum("lines_added").alias("lines_added"))
+
+
+@query("a7_text_sink", "SELECT 'n' || s_nationkey AS repo, 'score of ' || s_name AS line FROM supplier")
+def a7_text_sink(spark, d):
+    """Texts of changes written in a folder per repository, and read back."""
+    base = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    rows = table(spark, d, "supplier").select(_id("n", "s_nationkey").alias("repo"), F.concat(F.lit("score of "), "s_name").alias("text"))
+    inputs.write_texts(rows, "text", base)
+    return spark.read.text(base).select("repo", F.col("value").alias("line"))
+
+
+@query("c4_source_files_only", "SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.php' ELSE '.PhP' END AS file, p_size::BIGINT AS line FROM part WHERE p_partkey % 3 <> 2")
+def c4_source_files_only(spark, d):
+    k = F.col("p_partkey") % 3
+    path = F.concat(_id("p", "p_partkey"), F.when(k == 0, ".php").when(k == 1, ".PhP").otherwise(".php.txt"))
+    files = table(spark, d, "part").select(F.lit(REPO).alias("repo"), F.lit("all").alias("change_id"), path.alias("path"), F.lit("modified").alias("change_type"), F.array(F.col("p_size").cast("int")).alias("added_lines"))
+    return changed.exploded(files, "added").select("file", F.col("line").cast("long").alias("line"))
+
+
+@query("g3_flow_facts", f"WITH {EDGES} SELECT o.source AS changed_symbol, o.target AS id, o.type AS dependency_type, o.lines, o.occurrences, o.target[1] = 'p' AS known FROM e o WHERE o.source[1] = 'o'")
+def g3_flow_facts(spark, d):
+    ids = table(spark, d, "orders").select(F.lit(REPO).alias("repo"), F.lit("all").alias("change_id"), _id("o", "o_orderkey").alias("symbol"))
+    e = cut(edges(spark, d))
+    rows = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e), max_depth=1)
+    rows = rows.select("changed_symbol", F.inline(F.arrays_zip("nodes", "edges")))
+    return rows.select("changed_symbol", "nodes.id", F.col("edges.type").alias("dependency_type"), _joined("edges.lines").alias("lines"), F.col("edges.occurrences").cast("long").alias("occurrences"), "nodes.known")
+
+
+@query(
+    "i_factor_details",
+    f"""WITH RECURSIVE {RISK},
+    tl AS (SELECT x.change_id, x.symbol, list_sort(list_distinct(list(e.type))) AS ts FROM x JOIN e ON e.target = x.symbol AND e.source <> e.target GROUP BY ALL),
+    q1 AS (SELECT change_id, symbol, n, CASE WHEN n >= 10 THEN 3 WHEN n >= 5 THEN 2 END AS s FROM fan WHERE n >= 5), q2 AS (SELECT *, len(ts) AS n, CASE WHEN len(ts) >= 3 THEN 2 ELSE 1 END AS s FROM tl WHERE len(ts) >= 2),
+    p1 AS (SELECT change_id, list({{'symbol': symbol, 'n': n}} ORDER BY s DESC, n DESC, symbol)[1] AS p, list({{'symbol': symbol, 'direct_dependents': n}} ORDER BY symbol) AS l FROM q1 GROUP BY change_id),
+    p2 AS (SELECT change_id, list({{'symbol': symbol, 'n': n, 'ts': ts}} ORDER BY s DESC, n DESC, symbol)[1] AS p, list({{'symbol': symbol, 'dependency_types': ts}} ORDER BY symbol) AS l FROM q2 GROUP BY change_id)
+    SELECT change_id, 'high_fan_in' AS code, p.symbol || ' has ' || p.n || ' direct dependents.' AS description, '{{"symbol":"' || p.symbol || '","direct_dependents":' || p.n || CASE WHEN len(l) > 1 THEN ',"symbols":' || to_json(l)::VARCHAR ELSE '' END || '}}' AS evidence FROM p1
+    UNION ALL SELECT change_id, 'multiple_dependency_types', p.symbol || ' has dependents through ' || p.n || ' different dependency types.', '{{"symbol":"' || p.symbol || '","dependency_types":' || to_json(p.ts)::VARCHAR || CASE WHEN len(l) > 1 THEN ',"symbols":' || to_json(l)::VARCHAR ELSE '' END || '}}' FROM p2
+    UNION ALL SELECT change_id, code, value || ' symbols may be affected by this change.', '{{"affected_symbols":' || value || '}}' FROM rf WHERE code = 'large_blast_radius' AND severity IS NOT NULL
+    UNION ALL SELECT change_id, code, 'The change can reach impacted symbols up to ' || value || ' dependency levels away.', '{{"max_depth":' || value || '}}' FROM rf WHERE code = 'deep_impact' AND severity IS NOT NULL
+    UNION ALL SELECT change_id, code, value || ' symbols were changed in this analysis.', '{{"changed_symbols":' || value || '}}' FROM rf WHERE code = 'multiple_changed_symbols' AND severity IS NOT NULL""",
+)
+def i_factor_details(spark, d):
+    c = _context(spark, d)
+    rows = risk.risk_factors(risk.Context(c.changed, c.edges, c.entries))
+    return rows.select("change_id", "code", "description", F.to_json("evidence").alias("evidence"))
+
+
+@query(
+    "j2_score_errors",
+    "WITH f AS (SELECT l_orderkey AS k, CASE l_linenumber % 3 WHEN 0 THEN 'deep_impact' WHEN 1 THEN 'high_fan_in' ELSE 'made_up' END AS code FROM lineitem) SELECT 'o' || k AS change_id, code, 'unknown code' AS error FROM f WHERE code = 'made_up' UNION ALL SELECT 'o' || k, code, 'code found twice' FROM f GROUP BY k, code HAVING count(*) > 1",
+)
+def j2_score_errors(spark, d):
+    k = F.col("l_linenumber") % 3
+    rows = table(spark, d, "lineitem").select(F.lit(REPO).alias("repo"), _id("o", "l_orderkey").alias("change_id"), F.when(k == 0, "deep_impact").when(k == 1, "high_fan_in").otherwise("made_up").alias("code"))
+    return risk.score_errors(rows).select("change_id", "code", "error")
+
+
+@query(
+    "m2_model_labels",
+    """WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 = 0 OR (p_partkey % 7 = 1 AND p_partkey - 1 IN (SELECT p_partkey FROM part)))
+    SELECT DISTINCT 'u' || user_id AS symbol, CASE event_id % 3 WHEN 0 THEN 'database_read' ELSE 'database_write' END AS type FROM events LEFT JOIN k ON k.k = event_id % 100 WHERE event_id % 3 < 2 AND (k.k IS NOT NULL OR event_id % 100 = 99)""",
+)
+def m2_model_labels(spark, d):
+    """Every seventh part is a model and the next one its subclass; a call on one of them, or on a query builder, reads or writes."""
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    own = part.select(F.lit(REPO).alias("repo"), _id("p", "p_partkey").alias("fqn"), F.lit("class").alias("type"), _id("p", "p_partkey").alias("name"), F.lit("f.php").alias("file"), text.alias("parent"), text.alias("visibility"), none.alias("attributes"))
+    above = F.when(k % 7 == 0, F.lit(labels.MODEL)).when(k % 7 == 1, F.concat(F.lit("p"), (k - 1).cast("string")))
+    parents = part.select(F.lit(REPO).alias("repo"), _id("p", "p_partkey").alias("child"), above.alias("parent")).where("parent is not null")
+    n = F.col("event_id") % 100
+    method = F.when(F.col("event_id") % 3 == 0, "first").when(F.col("event_id") % 3 == 1, "update").otherwise("where")
+    calls = table(spark, d, "events").select(F.lit(REPO).alias("repo"), F.lit("f.php").alias("file"), _id("u", "user_id").alias("containing_symbol"), F.lit("static").alias("kind"), F.when(n == 99, F.lit(labels.BUILDERS[0])).otherwise(F.concat(F.lit("p"), n.cast("string"))).alias("callee_class"), method.alias("name"), F.array(method).alias("chain"), text.alias("arg_class"), text.alias("arg_method"), text.alias("arg_kind"))
+    empty = spark.createDataFrame([], "repo string, class string, name string")
+    return labels.framework_labels(labels.Project(own, parents, empty, empty, calls), [labels.database_reads, labels.database_writes]).select("symbol", "type")
