@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockline.llm.blocks import open_block, write_blocks
-from shockline.llm.shared import components, cut
+from shockline.llm.shared import components, cut, join_facts
 from shockline.llm.text import mix, shingles, slices, words
 
 LEVELS = 16
@@ -85,13 +85,13 @@ def signatures(blocks: DataFrame, n: int) -> DataFrame:
     return cut(blocks.mapInArrow(mapped, SIGNS))
 
 
-NODES = "doc_id long, m long, prefix array<long>, segments array<struct<f:int,t:array<long>>>"
+NODES = "doc_id long, m long, weight double, prefix array<long>, segments array<struct<f:int,t:array<long>>>"
 
 
 def profiles(blocks: DataFrame, reps: DataFrame, n: int, percent: int, per_fragment: int = 1_500_000) -> DataFrame:
     """NODES of the sets in reps (node, set_hash, block) that may have a partner, each of the one row in that block;
-    doc_id is the node.  The n-grams of the prefix that occur elsewhere and, by fragments of the global order, all
-    n-grams that occur elsewhere."""
+    doc_id is the node.  The mean frequency class of its n-grams, those of the prefix that occur elsewhere and, by
+    fragments of the global order, all that occur elsewhere."""
     spark = blocks.sparkSession
     total = blocks.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * per_fragment)))
@@ -135,17 +135,17 @@ def profiles(blocks: DataFrame, reps: DataFrame, n: int, percent: int, per_fragm
                         continue
                     order = np.lexsort((flat[a:b], lv))
                     tokens, lv = flat[a:b][order], lv[order]
-                    rare = int((lv == 0).sum())
+                    rare, weight = int((lv == 0).sum()), float(lv.mean())
                     prefix = tokens[rare : max(rare, m - least + 1)].view(np.int64).tolist()
                     tokens, lv = tokens[rare:], lv[rare:]
                     f = lv.astype(np.int64) * 4 + (tokens >> np.uint64(62)).astype(np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(f)) + 1).tolist(), len(f)]
                     segments = [{"f": int(f[c]), "t": tokens[c:d].view(np.int64).tolist()} for c, d in zip(cuts[:-1], cuts[1:], strict=True)]
-                    rows.append((node, m, prefix, segments))
+                    rows.append((node, m, weight, prefix, segments))
                 segment = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.list_(pa.int64()))]))
-                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), segment]
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), segment]
                 for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), types, strict=True)], [c.split()[0] for c in NODES.split(", ", 3)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), types, strict=True)], [c.split()[0] for c in NODES.split(", ", 4)])
 
     joined = blocks.join(per_block.join(wanted, "block"), "block").select("offsets", "size", "data", "levels", "wanted")
     return cut(joined.mapInArrow(place, NODES))
@@ -159,15 +159,26 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
+def met_by_gram(x: DataFrame, y: DataFrame, parts: int = 32) -> DataFrame:
+    """x joined with y by gram; x is small, and rows of y with a common gram are dealt out over parts."""
+    plain = x.where("not common").drop("common").join(y.where("not common").drop("common"), "gram")
+    xs = x.where("common").drop("common").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    ys = y.where("common").drop("common").withColumn("part", F.pmod(F.xxhash64("y_doc_id"), F.lit(parts)).cast("int"))
+    return plain.unionByName(xs.join(ys, ["gram", "part"]).drop("part"))
+
+
 def links(nodes: DataFrame, percent: int, first_leaders: int = 2, max_rounds: int = 40) -> DataFrame:
-    """(a, b) links that give the components of all links between nodes (doc_id, m, prefix, segments)."""
+    """(a, b) links that give the components of all links between nodes (doc_id, m, weight, prefix, segments)."""
     segments = nodes.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.f", "s.t")
     sizes = nodes.select("doc_id", "m")
-    index = nodes.select("doc_id", "m", F.posexplode("prefix").alias("pos", "gram"), F.size("prefix").alias("np"))
+    index = nodes.select("doc_id", "m", "weight", F.posexplode("prefix").alias("pos", "gram"), F.size("prefix").alias("np"))
     # Places count from the prefix's end, as n-grams that occur once were left out before it.
-    index = index.select("gram", "doc_id", "m", (F.col("np") - F.col("pos")).alias("left"))
-    common = index.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    index = cut(index.join(common, "gram"))
+    index = index.select("gram", "doc_id", "m", "weight", (F.col("np") - F.col("pos")).alias("left"))
+    # What copies of a text have in common is common, and what each changed is not: the text itself, if it is there, has
+    # the n-grams of the highest frequency classes, and its copies are nearer to it than to each other.
+    centre = F.max(F.struct("weight", "doc_id"))["doc_id"].alias("centre")
+    facts = cut(index.groupBy("gram").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"), centre).where("k > 1"))
+    index = cut(join_facts(index, facts, "gram", "k").drop("common", "weight"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sizes.select(F.col("doc_id").alias(k), F.col("m").alias("m" + k)) for k in "ab")
@@ -175,26 +186,26 @@ def links(nodes: DataFrame, percent: int, first_leaders: int = 2, max_rounds: in
         return cut(got.where(f"100 * common >= {percent} * (ma + mb - common)").select("a", "b"))
 
     # Most of a large group is found by comparing each document with two others of its most common prefix n-gram.
-    met = index.groupBy("gram").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    star = index.join(met, "gram").groupBy("doc_id").agg(F.max(F.struct("k", "gram", "low", "high")).alias("s"))
-    star = star.select("doc_id", F.explode(F.array("s.low", "s.high")).alias("other")).where("doc_id <> other")
+    star = index.groupBy("doc_id").agg(F.max(F.struct("k", "gram", "low", "centre")).alias("s"))
+    star = star.select("doc_id", F.explode(F.array("s.low", "s.centre")).alias("other")).where("doc_id <> other")
     found = linked(star.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
     comp = components(found)
+    index = index.drop("k", "low", "centre")
     for r in range(max_rounds):
         at = index.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-        at = at.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        at = cut(at.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
         groups = at.groupBy("gram", "comp").agg(F.count("*").alias("k"))
         groups = groups.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("big"), F.sum("k").alias("members"), F.count("*").alias("comps"))
-        groups = groups.where("comps > 1").select("gram", F.col("big.comp").alias("big"), (F.col("members") - F.col("big.k")).alias("minor"))
+        groups = cut(groups.where("comps > 1").select("gram", "members", F.col("big.comp").alias("big"), (F.col("members") - F.col("big.k")).alias("minor")))
         chance = F.lit(float(first_leaders * 4**r)) / F.col("minor")
         spread = F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
-        open_ = at.join(groups, "gram").withColumn("lead", (F.col("comp") != F.col("big")) & (spread < chance)).drop("big", "minor")
+        open_ = join_facts(at, groups, "gram", "members").withColumn("lead", (F.col("comp") != F.col("big")) & (spread < chance)).drop("big", "minor", "members")
         open_ = cut(open_)
         if open_.isEmpty():
             break
-        x = open_.where("lead").select("gram", *(F.col(c).alias("x_" + c) for c in ("doc_id", "m", "left", "comp")))
-        y = open_.select("gram", *(F.col(c).alias("y_" + c) for c in ("doc_id", "m", "left", "comp", "lead")))
-        met = x.join(y, "gram").where("x_comp <> y_comp and (not y_lead or x_doc_id < y_doc_id)")
+        x = open_.where("lead").select("gram", "common", *(F.col(c).alias("x_" + c) for c in ("doc_id", "m", "left", "comp")))
+        y = open_.select("gram", "common", *(F.col(c).alias("y_" + c) for c in ("doc_id", "m", "left", "comp", "lead")))
+        met = met_by_gram(x, y).where("x_comp <> y_comp and (not y_lead or x_doc_id < y_doc_id)")
         met = met.where(f"100 * least(x_m, y_m) >= {percent} * greatest(x_m, y_m)")
         # At the first n-gram two prefixes share, no more than what follows in both can be common.
         # ``left`` n-grams of the prefix from this one on, and ceil(percent * m / 100) - 1 after the prefix.

@@ -34,6 +34,26 @@ def crc_of(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows from which a key may count as common.
+COMMON = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with the facts of their key, and ``common``: whether very many rows have it.
+
+    facts (a written table): one row per key; its column ``n`` is the number of
+    rows with that key.  One that more than a 5000th of all rows have is common;
+    there are 5000 such at most, so their facts are broadcast, and no task gets
+    all the rows of one of them.
+    """
+    total = facts.agg(F.sum(n).alias("s")).head()["s"] or 0
+    most = max(COMMON, total // 5000)
+    few = F.broadcast(facts.where(F.col(n) > most))
+    common = rows.join(few, key).withColumn("common", F.lit(True))
+    others = rows.join(few.select(key), key, "left_anti").join(facts.where(F.col(n) <= most), key).withColumn("common", F.lit(False))
+    return common.unionByName(others)
+
+
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(a, b) long pairs -> (id, component): the smallest id reachable; ids without a pair to another don't appear.
 

@@ -184,7 +184,9 @@ def plain_secrets(rows):
     return out
 
 
-def test_secrets_equal_a_plain_search(spark):
+@pytest.mark.parametrize("common", [1000, 2])
+def test_secrets_equal_a_plain_search(spark, monkeypatch, common):
+    monkeypatch.setattr(shared, "COMMON", common)  # 2: many values take the way of those that are everywhere
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdef0123456789", k=rng.choice([8, 15, 16, 40])))
     opaque = lambda: "".join(rng.choices("ABCDEFabcdef0123456789+/_=-", k=rng.choice([12, 19, 20, 33])))
@@ -296,7 +298,9 @@ def test_jaccard_of_repeated_rows_in_two_blocks(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), comp[i]) for (i, _), s in zip(rows, sets, strict=True))
 
 
-def test_jaccard_of_many_near_copies(spark):
+@pytest.mark.parametrize("common", [1000, 5])
+def test_jaccard_of_many_near_copies(spark, monkeypatch, common):
+    monkeypatch.setattr(shared, "COMMON", common)  # 5: most n-grams take the way of common ones
     rng = random.Random(9)
     words = prose(11, 60).split()
     rows = []
