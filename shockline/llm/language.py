@@ -97,28 +97,30 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 200, rate: float = 0.3, d
     return Coder(names, code, w, b)
 
 
-def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4, most_rows: int = 20_000) -> Coder:
-    """Fits the classifiers to a bounded sample: ``per_lang`` documents of each language with a text, fewer of each
-    where there are so many languages that they would be more than ``most_rows``.
+def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4, most_langs: int = 1000, most_rows: int = 20_000) -> Coder:
+    """Fits the classifiers to a bounded sample: ``per_lang`` documents with a text of each of the ``most_langs`` most
+    frequent languages, fewer of each where they would be more than ``most_rows``.
 
     Documents whose crc32 of doc_id modulo ``folds`` is ``held_out`` are left
     out.  The sample has the lowest hashes of doc_id and text, so it is the same
-    every time, null ids spread, and repeated rows count once.
+    every time, null ids spread, and repeated rows count once.  Only hashes are
+    ranked; texts are picked where they are read, by what is broadcast, which
+    the bounds keep small.
     """
     known = docs.where("lang is not null and text is not null and trim(text) <> ''")
     if held_out is not None:
         known = known.where(crc_of("doc_id") % folds != held_out)
-    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("rank"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = docs.sparkSession.createDataFrame(sizes.collect(), sizes.schema)
     n_langs = sizes.count()
     if not n_langs:
         return Coder([], np.ones((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32))
     each = max(1, min(per_lang, most_rows // n_langs))
-    keyed = known.join(sizes, "lang")
     # Twice the share that is wanted, so that enough are left; then exactly the lowest of each language.
-    few = keyed.where(F.pmod("h", F.lit(1 << 40)) < F.lit(2.0 * each * (1 << 40)) / F.col("n")).select("lang", F.pmod("h", F.lit(1 << 40)).alias("rank"), "text")
-    ranks = few.select("lang", "rank").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= each)
-    last = ranks.groupBy("lang").agg(F.max("rank").alias("last"))
+    few = known.join(F.broadcast(sizes), "lang").where(F.col("rank") < F.lit(2.0 * each * (1 << 40)) / F.col("n")).select("lang", "rank").distinct()
+    ranks = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= each).select("lang", "rank")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(ranks.collect(), ranks.schema))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +131,7 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds:
                     rows.append(at.tobytes() + x[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["lang", "rank", "x"])
 
-    chosen = few.join(last, "lang").where("rank <= last").select("lang", "rank", "text").mapInArrow(mapped, "lang string, rank long, x binary")
+    chosen = known.join(wanted, ["lang", "rank"], "left_semi").select("lang", "rank", "text").mapInArrow(mapped, "lang string, rank long, x binary")
     rows = sorted(chosen.distinct().collect(), key=lambda r: (r["lang"], r["rank"], r["x"]))
     if not rows:
         return Coder([], np.ones((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32))
