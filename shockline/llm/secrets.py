@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockline.llm.shared import cut
+from shockline.llm.shared import cut, join_facts
 from shockline.llm.text import LOWER, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,13 +107,13 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """value_hash -> n_repos, n_owners.
+    """value_hash -> n_spans, n_repos, n_owners.
 
     Counted per (value, owner, repository) and (value, owner) first, so a value copied everywhere is no hot key.
     """
-    per_repo = spans.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
-    per_owner = per_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repos"))
-    return per_owner.groupBy("value_hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    per_repo = spans.groupBy("value_hash", "owner", "doc_id").agg(F.count("*").alias("n_spans"))
+    per_owner = per_repo.groupBy("value_hash", "owner").agg(F.sum("n_spans").alias("n_spans"), F.count("*").alias("n_repos"))
+    return per_owner.groupBy("value_hash").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
 def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3, exampl
     candidates, which are small, are written.
     """
     spans = cut(candidates(docs, owner))
-    joined = spans.join(ownership(spans), "value_hash")
+    joined = join_facts(spans, cut(ownership(spans)), "value_hash", "n_spans").drop("n_spans", "common")
     live = joined.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
     return live.withColumn("reported", (F.col("kind") != "opaque") | F.col("live"))
 
@@ -140,14 +140,14 @@ def spans_of(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(one)).alias("spans"))
 
 
-def with_spans(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
-    """doc (a struct of all columns of docs) and spans, an array that is empty where nothing was found.
+def with_spans(docs: DataFrame, keep: list[str], owner: str = "source", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
+    """doc (a struct of the columns of docs in ``keep``) and spans, an array that is empty where nothing was found.
 
     Nulls, repeated rows and further columns, whatever their names, stay.
     """
     per = spans_of(scan(docs, owner, example_owners, example_repos)).withColumnRenamed("doc_id", "id")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")) == F.col("row"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col("doc_id").alias("of"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+    same = F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row"))
     return keyed.join(per, same, "left").select("doc", F.coalesce("spans", F.array()).alias("spans"))
 
 
@@ -161,7 +161,7 @@ def redact(docs: DataFrame, owner: str = "source", example_owners: int = 3, exam
             acc -> concat(acc.out, substring(doc.text, int(acc.at + 1))))"""
     )
     text = F.when(F.exists("spans", lambda s: s["live"] & s["reported"]), pieces).otherwise(F.col("doc.text"))
-    found = with_spans(docs, owner, example_owners, example_repos)
+    found = with_spans(docs, docs.columns, owner, example_owners, example_repos)
     return found.select(*(text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
@@ -172,7 +172,7 @@ def digest(docs: DataFrame, owner: str = "source", example_owners: int = 3, exam
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     most = lambda name: F.coalesce(F.array_max(F.transform("spans", lambda s: s[name])), F.lit(0)).alias(name)
-    return with_spans(docs.select("doc_id", "text", owner), owner, example_owners, example_repos).select(
+    return with_spans(docs, ["doc_id"], owner, example_owners, example_repos).select(
         "doc.doc_id",
         *(n(k).alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
