@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockline.llm.shared import cut
-from shockline.llm.text import Run, slices
+from shockline.llm.text import SLICE_BYTES, Run, slices
 
 COLUMNS = "block long, doc_ids array<long>, offsets binary, size long, data binary"
 
@@ -72,6 +72,6 @@ def open_block(offsets: bytes, size: int, data: bytes) -> Iterator[Run]:
     ends = np.frombuffer(offsets, np.int64)
     i = 0
     while i < len(ends) - 1:
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (2 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, side="right")) - 1)
         yield Run(i, whole[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
         i = j

@@ -48,7 +48,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self._word)
+        self.memo = Memo(self._word, 200_000)
         vocab = self.tokenizer.get_vocab()
         # Special tokens are found before letters are lowered, and only as they are written.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
