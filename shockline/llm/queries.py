@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shockline.llm import jaccard, language, licenses, neardup, packing, pieces, quality, scoring, secrets, warc
+from shockline.llm import centroids, jaccard, language, licenses, lines, merkle, neardup, packing, pieces, quality, scoring, secrets, warc
 from shockline.llm.tokens import vocabulary
 
 
@@ -55,6 +55,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
@@ -66,10 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroids": op11_centroids,
+    "op12_merkle": op12_merkle,
+    "op13_lines": op13_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_neardup": neardup.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
+    "op11_centroids": centroids.oracle(),
+    "op12_merkle": merkle.oracle(),
+    "op13_lines": lines.ORACLE,
 }
