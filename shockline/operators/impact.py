@@ -1,9 +1,14 @@
 """Direct impact and blast radius of changed symbols: changed(repo, change_id, symbol)."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockline.functions.lineage import cut, cut_by
+from shockline.functions.lineage import cut, cut_by, shared_folder
 
 
 def direct_impact(changed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -21,43 +26,116 @@ def impacted_symbols(impact: DataFrame) -> DataFrame:
     )
 
 
-def reach_depths(origins: DataFrame, steps: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """repo, origin, node, depth: what each (repo, origin) reaches backwards, itself included at 0.
+#: Origins that a word of a bitmap has lanes for.
+LANES = 64
+#: Origins whose names are broadcast; those of more are joined.
+FEW_ORIGINS = 100_000
+
+
+@dataclass
+class Reach:
+    """Who reaches what, as bitmaps of origins.
+
+    levels: repo, node, word, bits, depth; a bit is set at the shortest depth at which its origin reaches the node.
+    lanes: repo, word, origins; bit k of a word stands for its k-th origin.
+    """
 
-    steps(repo, source, target) without self-edges.  One join per level, of ids
-    alone; every level is written, so none is computed again.  ``max_rounds``
-    raises rather than leaving rows out.
+    levels: DataFrame
+    lanes: DataFrame
+    n_origins: int
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows(repo, word, bits, node, ...) with a row and ``origin`` for each bit that is set."""
+        lanes, on = self.lanes, ["repo", "word"]
+        if self.n_origins <= FEW_ORIGINS:
+            lanes = F.broadcast(lanes)
+        else:  # a word that very many nodes share is met in several tasks
+            rows, on = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16))), [*on, "salt"]
+            lanes = lanes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+        set_ = F.filter("origins", lambda _, k: F.getbit(F.col("bits"), k) == 1)
+        return rows.join(lanes, on).withColumn("origin", F.explode(set_)).drop("word", "bits", "origins", "salt")
+
+
+def lanes_of(origins: DataFrame) -> DataFrame:
+    """repo, origin, word, bit: origins(repo, origin) in order, LANES of them to a word, so that names that stand together share words."""
+    rows = origins.select("repo", "origin").distinct().repartitionByRange("repo", "origin").sortWithinPartitions("repo", "origin")
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    return rows.select("repo", "origin", F.expr(f"at div {LANES}").alias("word"), (F.col("at") % LANES).cast("int").alias("bit"))
+
+
+def reach_levels(origins: DataFrame, steps: DataFrame, max_rounds: int = 10_000) -> Reach:
+    """Bit-parallel search backwards from every (repo, origin) at once, each at depth 0.
+
+    steps(repo, source, target) are distinct, without self-edges, and best
+    bucketed by target.  A node's origins are a bitmap, so an edge is met once
+    per node and word of 64 origins; bitmaps that arrive at a node are combined
+    by ``bit_or`` before and after the shuffle.  What was seen before is taken
+    off by joins with bucketed tables, which are merged as they grow, so that a
+    level shuffles its frontier alone and a row is rewritten a logarithmic
+    number of times.  ``max_rounds`` raises rather than leaving rows out.
     """
-    frontier = cut(origins.select("repo", "origin").distinct().select("repo", "origin", F.col("origin").alias("node"), F.lit(0).alias("depth")))
-    seen = frontier
+    key = ["repo", "node", "word"]
+    lanes = lanes_of(origins)
+    n_origins = lanes.count()
+    folder = f"{shared_folder(origins.sparkSession)}/levels-{uuid.uuid4().hex}"
+    bits = F.expr("bit_or(bits)").alias("bits")
+    own = lanes.select("repo", F.col("origin").alias("node"), "word", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth"))
+    spark = origins.sparkSession
+    frontier = cut_by(own.groupBy(*key, "depth").agg(bits).select(*key, "bits", "depth"), *key, path=f"{folder}/0")
+    paths, seen = [f"{folder}/0"], [(frontier, f"{folder}/0", n_origins)]
     for depth in range(1, max_rounds + 1):
-        met = frontier.select("repo", "origin", F.col("node").alias("target")).join(steps.select("repo", "source", "target"), ["repo", "target"])
-        met = met.select("repo", "origin", F.col("source").alias("node")).distinct()
-        frontier = cut(met.join(seen, ["repo", "origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+        met = frontier.select("repo", F.col("node").alias("target"), "word", "bits").join(steps.select("repo", "source", "target"), ["repo", "target"])
+        met = met.groupBy("repo", F.col("source").alias("node"), "word").agg(bits)
+        for earlier, *_ in seen:
+            met = met.join(earlier.select(*key, F.col("bits").alias("old")), key, "left").select(*key, F.expr("bits & ~coalesce(old, 0L)").alias("bits"))
+        path = f"{folder}/{depth}"
+        frontier = cut_by(met.where("bits <> 0").withColumn("depth", F.lit(depth)), *key, path=path, dealt=True)
+        if not (n := frontier.count()):
+            levels = spark.read.schema(frontier.schema).parquet(*paths)
+            by_word = lanes.groupBy("repo", "word").agg(F.sort_array(F.collect_list(F.struct("bit", "origin"))).alias("o"))
+            return Reach(levels, cut(by_word.select("repo", "word", _by_bit())), n_origins)
+        paths.append(path)
+        seen.append((frontier, path, n))
+        while len(seen) > 1 and seen[-2][2] <= 2 * seen[-1][2]:
+            (_, a, n), (_, b, m) = seen.pop(), seen.pop()
+            # Read as plain files: a union of bucketed tables is planned as if it lay by their buckets, and does not.
+            both = spark.read.schema(frontier.schema).parquet(a, b).groupBy(*key).agg(bits)
+            path = f"{folder}/seen-{depth}-{len(seen)}"
+            seen.append((cut_by(both.select(*key, "bits", F.lit(0).alias("depth")), *key, path=path, dealt=True), path, n + m))
     raise RuntimeError(f"blast radius not complete after {max_rounds} rounds")
 
 
+def _by_bit() -> Column:
+    """The origins of a word at their bits' places; a repository may begin within a word."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: F.get(F.filter("o", lambda x: x["bit"] == k), F.lit(0))["origin"]).alias("origins")
+
+
+def reach_depths(origins: DataFrame, steps: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """repo, origin, node, depth: what each (repo, origin) reaches backwards, itself included at 0."""
+    found = reach_levels(origins, steps, max_rounds)
+    return found.named(found.levels).select("repo", "origin", "node", "depth")
+
+
 def reach(origins: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Walks edges backwards from each (repo, origin) to the fixed point.
 
     repo, origin, impacted, depth and the evidence: every edge (impacted -> target)
     that arrives at the shortest depth.  Edges whose target can't be on a
     frontier are left out first; the others are bucketed by target for all the
-    levels' joins.  The evidence is joined once, at the end: its edges lead from
-    one depth to the one before.
+    levels' joins.  The evidence is joined once, at the end, on bitmaps too:
+    its edges lead from one depth to the one before, for the origins that both
+    ends share.
     """
     starts = origins.select("repo", F.col("origin").alias("target")).distinct()
     steps = edges.where("source <> target").select("repo", "source", "target", "type", "lines", "occurrences")
     live = steps.select("repo", F.col("source").alias("target")).unionByName(starts).distinct()
     steps = cut_by(steps.join(live, ["repo", "target"], "left_semi"), "repo", "target")
-    reached = reach_depths(origins, steps, max_rounds)
-    later = reached.where("depth > 0").select("repo", "origin", F.col("node").alias("source"), "depth")
-    back = reached.select("repo", "origin", F.col("node").alias("target"), (F.col("depth") + 1).alias("depth"))
-    found = back.join(steps, ["repo", "target"]).join(later, ["repo", "origin", "source", "depth"])
-    return found.select("repo", "origin", F.col("source").alias("impacted"), "depth", "target", F.col("type").alias("dependency_type"), "lines", "occurrences")
+    ids = cut_by(steps.select("repo", "source", "target").distinct(), "repo", "target", dealt=True)
+    found = reach_levels(origins, ids, max_rounds)
+    later = found.levels.where("depth > 0").select("repo", F.col("node").alias("source"), "word", F.col("bits").alias("own"), "depth")
+    back = found.levels.select("repo", F.col("node").alias("target"), "word", "bits", (F.col("depth") + 1).alias("depth"))
+    rows = back.join(steps, ["repo", "target"]).join(later, ["repo", "source", "word", "depth"]).withColumn("bits", F.expr("bits & own")).where("bits <> 0").withColumnRenamed("source", "node")
+    return found.named(rows).select("repo", "origin", F.col("node").alias("impacted"), "depth", "target", F.col("type").alias("dependency_type"), "lines", "occurrences")
 
 
 def blast_origins(changed: DataFrame, edges: DataFrame) -> DataFrame:
