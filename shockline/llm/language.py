@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shockline.llm.shared import crc_of
+from shockline.llm.shared import as_struct, crc_of
 from shockline.llm.text import LOWER, mix, slices
 
 WIDTH = 4096
@@ -70,8 +70,8 @@ class Coder:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its share in the softmax of minus the losses, and the loss gap to the second."""
-        margin = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(axis=2)
+        margin = (x @ self.weights + self.bias).astype(np.float64)
+        loss = np.logaddexp(0, -margin) @ (self.code > 0).T + np.logaddexp(0, margin) @ (self.code < 0).T
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         best = loss.argmin(axis=1)
         ranked = np.sort(loss, axis=1)
@@ -97,9 +97,9 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 200, rate: float = 0.3, d
     return Coder(names, code, w, b)
 
 
-def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4, most_langs: int = 1000, most_rows: int = 20_000) -> Coder:
-    """Fits the classifiers to a bounded sample: ``per_lang`` documents with a text of each of the ``most_langs`` most
-    frequent languages, fewer of each where they would be more than ``most_rows``.
+def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds: int = 4, most_rows: int = 20_000) -> Coder:
+    """Fits the classifiers to a bounded sample: ``per_lang`` documents with a text of every language, fewer of each
+    (one at least) where they would be more than ``most_rows``.  No language is left out.
 
     Documents whose crc32 of doc_id modulo ``folds`` is ``held_out`` are left
     out.  The sample has the lowest hashes of doc_id and text, so it is the same
@@ -111,7 +111,7 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: int | None = 2, folds:
     if held_out is not None:
         known = known.where(crc_of("doc_id") % folds != held_out)
     known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("rank"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n"))
     sizes = docs.sparkSession.createDataFrame(sizes.collect(), sizes.schema)
     n_langs = sizes.count()
     if not n_langs:
@@ -187,10 +187,11 @@ def keep_told(docs: DataFrame, coder: Coder, least_gap: float = 0.5) -> DataFram
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _, close = told(coder, batch.column(place), least_gap)
+            langs, _, close = told(coder, batch.column(0).field(place), least_gap)
             yield batch.filter(pa.array([k != "und" and not c for k, c in zip(langs, close, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(mapped, docs.schema)
+    rows = as_struct(docs)
+    return rows.mapInArrow(mapped, rows.schema).select("doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

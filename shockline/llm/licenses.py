@@ -3,7 +3,9 @@
 A sparse logistic regression over word uni- and bigrams gives each paragraph a
 licence family or ``unknown``; its probabilities are calibrated with a
 temperature on held-out paragraphs.  A prediction counts if the paragraph's
-words also match a template of the family.  Paragraphs are lines, and windows
+words also match a template of the family; between families whose templates
+share almost all words, the words in which these differ decide.  Version
+numbers say nothing about a family, so all digits count as one.  Paragraphs are lines, and windows
 of about a template's length, which find notices that are wrapped over lines or
 stand within a longer one; comment marks around lines are left out.
 """
@@ -66,12 +68,14 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "gpl": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
@@ -98,6 +102,7 @@ WIDTH = 1 << 13
 #: Marks around words that don't belong to them; characters outside of words are white space here.
 TRIM = np.arange(256, dtype=np.uint8)
 TRIM[[*b"\"'(),;:<>[]{}!?"]] = 32
+TRIM[48:58] = 48
 #: Bytes that frame the lines of a comment.
 MARK = np.zeros(256, dtype=bool)
 MARK[[*b" \t\r\v\f\"'(),;:<>[]{}!?#*/%|=~-"]] = True
@@ -274,7 +279,10 @@ def train(docs: DataFrame, sample: int = 400, per_document: int = 20, piece_word
 
 @dataclass
 class Template:
-    """words in order; has[v]: whether it holds word v of the vocabulary; need: distinct words that confirm; reach: a window's length."""
+    """words in order; has[v]: whether it holds word v of the vocabulary; need: distinct words that confirm; reach: a window's length.
+
+    rivals: templates of other families that share almost all words with it.
+    """
 
     family: str
     words: list[int]
@@ -284,22 +292,40 @@ class Template:
 
     def __post_init__(self) -> None:
         self.set = set(self.words)
+        self.rivals: list[Template] = []
+
+    def is_like(self, other: "Template") -> bool:
+        return self.family != other.family and len(self.set & other.set) >= 0.75 * len(self.set | other.set)
 
 
 def templates(least: float) -> tuple[np.ndarray, list[Template]]:
     """The sorted vocabulary of all templates, and the templates; a window holds a quarter more words than a template, and two."""
     texts = [(f, token_hashes(t)) for f, found in TEMPLATES.items() for t in found]
     vocabulary = np.unique(np.concatenate([h for _, h in texts]))
-    return vocabulary, [Template(f, h.tolist(), np.isin(vocabulary, h), math.ceil(least * len(set(h.tolist())) - 1e-9), len(h) + len(h) // 4 + 2) for f, h in texts]
+    found = [Template(f, h.tolist(), np.isin(vocabulary, h), math.ceil(least * len(set(h.tolist())) - 1e-9), len(h) + len(h) // 4 + 2) for f, h in texts]
+    for t in found:
+        t.rivals = [r for r in found if t.is_like(r)]
+    return vocabulary, found
+
 
+def confirmed(h: np.ndarray, found: list[Template], least: float) -> tuple[str, float, float, int]:
+    """Family, share, fit and reach of the template that a paragraph fits best, and "" if none is held to ``least``.
 
-def confirmed(h: np.ndarray, found: list[Template], least: float) -> tuple[float, float, int]:
-    """The largest share of a template's distinct words that a paragraph holds; and for the template with the largest
-    product of share and words held, the product and its reach.  Zeros if no share is ``least``."""
+    The fit is the share of a template's distinct words that the paragraph
+    holds, times their number; the share is the largest of the family.  Of a
+    template and its rivals that one counts which agrees with the paragraph
+    in the most of the words in which they differ.
+    """
     own = set(h.tolist())
-    held = [(len(own & t.set) / len(t.set), len(own & t.set), t.reach) for t in found]
-    held = [x for x in held if x[0] >= least]
-    return max((x for x, _, _ in held), default=0.0), *max(((x * n, reach) for x, n, reach in held), default=(0.0, 0))
+    held = [(len(own & t.set) ** 2 / len(t.set), t.reach, t) for t in found if len(own & t.set) >= least * len(t.set)]
+    if not held:
+        return "", 0.0, 0.0, 0
+    fit, _, best = max(held, key=lambda x: x[:2])
+    alike = [best, *(r for r in best.rivals if len(own & r.set) >= least * len(r.set))]
+    every = set().union(*(t.set for t in alike))
+    best = max(alike, key=lambda t: (-len((own & every) ^ t.set), t is best))
+    share = max(len(own & t.set) / len(t.set) for t in found + alike if t.family == best.family)
+    return best.family, share, fit, best.reach
 
 
 def windows(h: np.ndarray, floor: np.ndarray, vocabulary: np.ndarray, found: list[Template]) -> list[tuple[int, int]]:
@@ -366,20 +392,27 @@ def notices(found: Paragraphs, model: Classifier, vocabulary: np.ndarray, known:
 
     Of lines and windows that do, the one that fits a template best stays (share times words held), then a line of
     no more than the template's reach, then the shorter.  The words left are searched again until no more is found.
+    The probability is that of the predicted family and of those with templates like its own, between which the
+    comparison decides.
     """
     h = found.words.hash
     by_family = {f: [t for t in known if t.family == f] for f in TEMPLATES}
+    groups = {f: [f, *sorted({r.family for t in by_family[f] for r in t.rivals})] for f in TEMPLATES}
+    together = np.eye(len(model.families))
+    for k, f in enumerate(model.families[1:], 1):
+        together[k, [model.families.index(g) for g in groups[f]]] = 1
     doc = np.repeat(found.words.first[:-1], np.diff(found.words.first))
     floor, taken = doc.copy(), []
 
     def likely(words: np.ndarray, edges: np.ndarray, starts: np.ndarray, line: bool) -> Iterator[tuple]:
         p = model.probabilities(words, edges)
         best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-        for k in np.flatnonzero((best > 0) & (p[np.arange(len(p)), best] >= least_probability)).tolist():
-            family, own, n = model.families[best[k]], words[edges[k] : edges[k + 1]], int(edges[k + 1] - edges[k])
-            share, held, reach = confirmed(own, by_family[family], least_share)
-            if share:
-                yield -held, not line or n > reach, n, int(starts[k]), int(starts[k]) + n, k if line else -1, family, float(p[k, best[k]]), share
+        p = (p * together[best]).sum(axis=1).clip(0, 1)
+        for k in np.flatnonzero((best > 0) & (p >= least_probability)).tolist():
+            own, n = words[edges[k] : edges[k + 1]], int(edges[k + 1] - edges[k])
+            family, share, held, reach = confirmed(own, [t for f in groups[model.families[best[k]]] for t in by_family[f]], least_share)
+            if family:
+                yield -held, not line or n > reach, n, int(starts[k]), int(starts[k]) + n, k if line else -1, family, float(p[k]), share
 
     chosen = list(likely(h, found.tokens, found.tokens, True))
     while True:

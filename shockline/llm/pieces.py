@@ -5,7 +5,8 @@ may follow another if merging the text of the two gives the same two again; a
 dead end marks its position in a bitfield and goes back to a shorter token.
 Merges never join a non-space to a following space sign or reach over a
 character that no piece has, so a text is cut there and each distinct part is
-encoded once (as long as it stays in a bounded memo).
+encoded once (as long as it stays in a bounded memo).  Time grows with the
+length of a part, whatever it repeats.
 """
 
 from __future__ import annotations
@@ -141,20 +142,18 @@ class PieceBpe:
         longest = [-1] * n
         for end, (less, token) in self.automaton.iter(text):
             longest[end - less] = token
+        stops = [k for k, token in enumerate(longest) if token < 0]
+        stops.append(n)
+        dead = bytearray(n // 8 + 1)  # a bit per position: no way on from there
         out: list[int] = []
         begin = 0
-        while begin < n:
-            if longest[begin] < 0:
-                out += self._bytes(text[begin])
-                begin += 1
-                continue
-            stop = longest.index(-1, begin) if -1 in longest[begin:] else n
-            dead = 0  # bit k: no way on from begin + k
+        for stop in stops:  # between characters that no piece has
             stack: list[int] = []
-            pos, token, last = begin, longest[begin], -1
+            pos, token, last = begin, longest[begin] if begin < stop else -1, -1
             while pos < stop:
                 while token >= 0:
-                    if not dead >> (pos + size[token] - begin) & 1:
+                    to = pos + size[token]
+                    if not dead[to >> 3] >> (to & 7) & 1:
                         if last < 0:
                             break
                         ok = pairs.get((last, token))
@@ -168,12 +167,14 @@ class PieceBpe:
                     pos += size[token]
                     last, token = token, longest[pos] if pos < stop else -1
                 else:
-                    dead |= 1 << (pos - begin)
+                    dead[pos >> 3] |= 1 << (pos & 7)
                     token = stack.pop()
                     pos -= size[token]
                     last, token = stack[-1] if stack else -1, shorter[token]
             out += stack
-            begin = stop
+            if stop < n:
+                out += self._bytes(text[stop])
+            begin = stop + 1
         return out
 
     def age_memos(self) -> None:
@@ -189,18 +190,18 @@ class PieceBpe:
         return out
 
     def _part(self, part: str) -> tuple[str, bytes]:
-        if len(part) > 2 and not part[-1].isalnum() and part[-2:] not in self.joins:  # no piece reaches over here
-            (a, x), (b, y) = self.memo[part[:-1]], self.memo[part[-1]]
-            return f"{a},{b}", x + y
+        end = len(part)
+        while end > 2 and not part[end - 1].isalnum() and part[end - 2 : end] not in self.joins:  # no piece reaches over here
+            end -= 1
+        if end < len(part):
+            each = [self.memo[part[:end]], *map(self.memo.__getitem__, part[end:])]
+            return ",".join([ids for ids, _ in each]), b"".join([back for _, back in each])
         # Runs of space signs have merges of equal rank, for which pairs don't decide.
         ids = self._direct(part) if SPACE + SPACE in part else self.backtrack(part)
         return ",".join(map(str, ids)), self.decode_pieces(ids)
 
     def decode_pieces(self, ids: list[int]) -> bytes:
-        out = b""
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(SPACE, " ").encode()
-        return out
+        return b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(SPACE, " ").encode() for i in ids])
 
     def parts(self, text: str) -> list[str]:
         return PART.findall((SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE))
@@ -242,7 +243,12 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and RESULT for every whole text, encoded and decoded in one pass.  Null and empty texts have 0 tokens."""
+    """doc_id and RESULT for every whole text, encoded and decoded in one pass.
+
+    Null and empty texts have 0 tokens.  Texts of any length and runs of any
+    character are encoded whole; repeated rows and null ids give a row each;
+    further columns are ignored; an empty table gives no rows.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = PieceBpe.of(model)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockline.llm.shared import crc_of
+from shockline.llm.shared import as_struct, crc_of
 from shockline.llm.text import Run, Words, counts_in, hash_spans, ngrams, slices, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -347,7 +347,7 @@ def keep_quality(docs: DataFrame, field: Field, least_share: float = 0.5) -> Dat
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)
-            for run in slices(batch.column(place)):
+            for run in slices(batch.column(0).field(place)):
                 facts, lines = read(run, SYMBOLS)
                 for i in range(len(run)):
                     a, b, n = lines.first[i], lines.first[i + 1], int(facts.n_words[i])
@@ -355,4 +355,5 @@ def keep_quality(docs: DataFrame, field: Field, least_share: float = 0.5) -> Dat
                         kept[run.first + i] = (lines.words[a:b] * field.viterbi(lines.bins[a:b])).sum() >= least_share * n
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(mapped, docs.schema)
+    rows = as_struct(docs)
+    return rows.mapInArrow(mapped, rows.schema).select("doc.*")

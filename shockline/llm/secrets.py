@@ -51,10 +51,13 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     found = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in found]
+    taken = iter(sorted((a, b) for _, a, b, _ in found))
+    a, b = next(taken, (len(text), len(text)))
     for m in OPAQUE.finditer(text):
         v = m[0]
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        while b <= m.start() < len(text):  # both lists are in order, so each is gone through once
+            a, b = next(taken, (len(text), len(text) + 1))
+        if a < m.end():
             continue
         if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= 3.5:
             found.append(("opaque", m.start(), m.end(), v))

@@ -34,6 +34,11 @@ def crc_of(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def as_struct(docs: DataFrame) -> DataFrame:
+    """One column ``doc``, a struct of all columns, whatever their names; ``doc.*`` gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 #: Rows from which a key may count as common.
 COMMON = 1000
 
