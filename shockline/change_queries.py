@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from shockline.functions.lineage import cut, shared_folder
 from shockline.operators import affected_tests, changed, churn, deps, diffs, flows, graph, impact, labels, reports, risk
 from shockline.plans import jobs
-from shockline.queries import EDGES, REPO, RISK, _context, _id, _joined, edges, query, symbols, table
-from shockline.sources import inputs
+from shockline.queries import EDGES, ORACLE_SQL, REPO, RISK, _context, _id, _joined, edges, query, symbols, table
+from shockline.sources import inputs, sinks
 
 # A cyclic graph of parts, in two repositories that share their ids: even and odd order keys.
 CYCLIC = """n AS (SELECT count(*) AS n FROM part),
-g AS (SELECT DISTINCT 'r' || (l_orderkey % 2) AS repo, 'p' || l_partkey AS source, 'p' || ((l_partkey * 7 + l_suppkey) % n.n) AS target, CASE l_returnflag WHEN 'A' THEN 'extends' WHEN 'N' THEN 'method_call' ELSE 'parameter_type' END AS type FROM lineitem, n WHERE l_linenumber = 1),
-o AS (SELECT r.repo, 'p' || p_partkey AS origin FROM part, (VALUES ('r0'), ('r1')) r(repo) WHERE p_partkey % 100 = 0)"""
+g AS (SELECT DISTINCT 'r' || (l_orderkey % 2) AS repo, 'p' || l_partkey AS source, 'p' || ((l_partkey * 7 + l_suppkey) % n.n) AS target, CASE l_returnflag WHEN 'A' THEN 'extends' WHEN 'N' THEN 'method_call' ELSE 'parameter_type' END AS type FROM lineitem, n),
+o AS (SELECT 'r' || (p_partkey // 100 % 2) AS repo, 'p' || p_partkey AS origin FROM part WHERE p_partkey % 100 = 0)"""
 
 
 def cyclic(spark, d) -> tuple[DataFrame, DataFrame]:
     n = table(spark, d, "part").count()
-    items = table(spark, d, "lineitem").where("l_linenumber = 1")
+    items = table(spark, d, "lineitem")
     type_ = F.when(F.col("l_returnflag") == "A", "extends").when(F.col("l_returnflag") == "N", "method_call").otherwise("parameter_type")
     target = F.concat(F.lit("p"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n).cast("string"))
     g = items.select(_repo("l_orderkey"), _id("p", "l_partkey").alias("source"), target.alias("target"), type_.alias("type")).distinct()
-    both = F.explode(F.array(F.lit("r0"), F.lit("r1"))).alias("repo")
-    origins = table(spark, d, "part").where("p_partkey % 100 = 0").select(both, _id("p", "p_partkey").alias("origin"))
+    repo = F.concat(F.lit("r"), F.expr("p_partkey div 100 % 2").cast("string")).alias("repo")
+    origins = table(spark, d, "part").where("p_partkey % 100 = 0").select(repo, _id("p", "p_partkey").alias("origin"))
     return cut(g.withColumns({"lines": F.array(F.lit(1)), "occurrences": F.lit(1)})), origins
 
 
@@ -36,7 +36,7 @@ def _repo(key: str):
 
 @query(
     "f3_cyclic_reach",
-    f"""WITH RECURSIVE {CYCLIC}, w(repo, origin, node, depth) AS (SELECT repo, origin, origin, 0 FROM o UNION SELECT w.repo, w.origin, g.source, w.depth + 1 FROM w JOIN g ON g.repo = w.repo AND g.target = w.node WHERE w.depth < 40),
+    f"""WITH RECURSIVE {CYCLIC}, w(repo, origin, node, depth) AS (SELECT repo, origin, origin, 0 FROM o UNION SELECT w.repo, w.origin, g.source, w.depth + 1 FROM w JOIN g ON g.repo = w.repo AND g.target = w.node WHERE w.depth < 14),
     m AS (SELECT repo, origin, node, min(depth) AS depth FROM w GROUP BY ALL)
     SELECT s.repo, s.origin, s.node AS impacted, s.depth::BIGINT AS depth, g.target, g.type AS dependency_type FROM m s JOIN g ON g.repo = s.repo AND g.source = s.node
     JOIN m t ON t.repo = s.repo AND t.origin = s.origin AND t.node = g.target AND t.depth = s.depth - 1 WHERE s.depth > 0 AND g.source <> g.target""",
@@ -292,8 +292,20 @@ def _listed(rows: str, item: str, order: str) -> str:
 )
 def a6_json_report(spark, d):
     a = world(spark, d)
-    found = table(spark, d, "supplier").select(F.lit(REPO).alias("repo"), F.concat(F.lit("src/"), _id("s", "s_suppkey"), F.lit(".php")).alias("file"), _id("s", "s_suppkey").alias("source"), _id("n", "s_nationkey").alias("target"), F.lit("implements").alias("type"), F.array(F.lit(1)).alias("lines"), F.lit(1).alias("occurrences"))
-    return reports.json_report(a.scores, jobs.json_items(a, found)).select("change_id", "report")
+    return reports.json_report(a.scores, jobs.json_items(a, _implements(spark, d))).select("change_id", "report")
+
+
+def _implements(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select(F.lit(REPO).alias("repo"), F.concat(F.lit("src/"), _id("s", "s_suppkey"), F.lit(".php")).alias("file"), _id("s", "s_suppkey").alias("source"), _id("n", "s_nationkey").alias("target"), F.lit("implements").alias("type"), F.array(F.lit(1)).alias("lines"), F.lit(1).alias("occurrences"))
+
+
+@query("a6_report_files", ORACLE_SQL["a6_json_report"])
+def a6_report_files(spark, d):
+    """The same reports streamed into a file each, and read back."""
+    a = world(spark, d)
+    base = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    sinks.write_report_files(reports.fragments(a.scores, jobs.json_items(a, _implements(spark, d))), base)
+    return inputs.texts(spark, f"{base}/{REPO}", "report").select(F.url_decode(F.regexp_extract("file", r"([^/]+)\.json$", 1)).alias("change_id"), "report")
 
 
 @query(
@@ -400,27 +412,24 @@ def a4_facts(spark, d):
 
 @query("a2_diff_texts", "SELECT 'b' || l_returnflag AS path, count(*) AS files FROM (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem) GROUP BY ALL")
 def a2_diff_texts(spark, d):
-    """Diff and log texts as whole files: written, and read back by path."""
+    """Diffs in files, written line by line and read back by many tasks; each file is a diff."""
     base = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    block = F.concat(F.lit("diff --git a/f b/"), _id("o", "l_orderkey"), F.lit("\n"))
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey").distinct().groupBy("l_returnflag").agg(F.array_join(F.collect_list(block), "").alias("value"))
-    rows.repartition("l_returnflag").write.partitionBy("l_returnflag").text(base)
-    read = inputs.texts(spark, base, "diff_text")
-    mode = F.concat(F.lit("b"), F.url_decode(F.regexp_extract("file", "l_returnflag=([^/]+)", 1)))
-    files = diffs.changed_files(read.select(F.lit(REPO).alias("repo"), mode.alias("change_id"), "diff_text"))
-    return files.groupBy(F.col("change_id").alias("path")).agg(F.count("*").alias("files"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey").distinct()
+    rows.select("l_returnflag", F.concat(F.lit("diff --git a/f b/"), _id("o", "l_orderkey")).alias("value")).write.partitionBy("l_returnflag").text(base)
+    lines = inputs.text_lines(spark, base).select(F.lit(REPO).alias("repo"), F.col("file").alias("change_id"), "part", "pos", "line")
+    flag = F.concat(F.lit("b"), F.url_decode(F.regexp_extract("change_id", "l_returnflag=([^/]+)", 1)))
+    return diffs.files_of(diffs.numbered(lines)).groupBy(flag.alias("path")).agg(F.count("*").alias("files"))
 
 
 @query("a3_log_texts", "SELECT l_returnflag AS flag, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS lines_added FROM lineitem GROUP BY ALL")
 def a3_log_texts(spark, d):
-    """Commit logs as whole files: written, read back by path, and parsed."""
+    """Commit logs in files, written record by record, and parsed record by record where they are read."""
     base = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    stat = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("\t0\tf\n"))
+    stat = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("\t0\tf"))
     head = F.concat(F.lit("\x1e"), F.concat_ws("\x1f", F.lpad(F.hex("l_orderkey"), 8, "0"), F.lit("Al"), F.lit("a@x"), F.lit("2024-01-01T00:00:00Z")), F.lit("\n\n"))
-    records = table(spark, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.concat(F.first(head), F.array_join(F.collect_list(stat), "")).alias("record"))
-    logs = records.groupBy("l_returnflag").agg(F.array_join(F.collect_list("record"), "").alias("value"))
-    logs.repartition("l_returnflag").write.partitionBy("l_returnflag").text(base)
-    read = inputs.texts(spark, base, "log_text").select(F.lit(REPO).alias("repo"), F.regexp_extract("file", "l_returnflag=([^/]+)", 1).alias("path"), "log_text")
+    records = table(spark, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.concat(F.first(head), F.array_join(F.collect_list(stat), "\n")).alias("value"))
+    records.select("l_returnflag", "value").write.partitionBy("l_returnflag").text(base)
+    read = inputs.log_records(spark, base).select(F.lit(REPO).alias("repo"), F.regexp_extract("file", "l_returnflag=([^/]+)", 1).alias("path"), "record")
     return churn.commit_files(read).groupBy(F.col("path").alias("flag")).agg(F.count("*").alias("commits"), F.sum("lines_added").alias("lines_added"))
 
 

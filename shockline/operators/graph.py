@@ -73,3 +73,28 @@ def ancestors(parents: DataFrame, max_rounds: int = 1000) -> DataFrame:
         new = new.groupBy("repo", "child", "ancestor").agg(F.min("distance").alias("distance"))
         known = cut(known.unionByName(new.join(known, ["repo", "child", "ancestor"], "left_anti")))
     raise RuntimeError(f"ancestors not complete after {max_rounds} rounds")
+
+
+def inherited_marks(parents: DataFrame, marks: DataFrame) -> DataFrame:
+    """repo, id, mask: the marks(repo, id, mask) of each id and of all its ancestors over parents(repo, child, parent), combined by ``bit_or``.
+
+    Ids without a mark are left out; one parent each.  Every id points at an
+    ancestor and holds the marks up to it; pointing on to the ancestor's own
+    ancestor doubles the distance, so a chain of any length takes a logarithmic
+    number of rounds, with one row per id in each.  On a cycle the marks of all
+    its ids meet: when a round brings no id to its end, only cycles are left,
+    and they are complete once the distance is their number of ids.
+    """
+    one = parents.where("child <> parent").groupBy("repo", F.col("child").alias("id")).agg(F.min("parent").alias("up"))
+    none = F.lit(None).cast("string")
+    ids = one.select("repo", "id", "up", F.lit(0).cast("long").alias("mask")).unionByName(one.select("repo", F.col("up").alias("id"), none.alias("up"), F.lit(0).cast("long").alias("mask")))
+    ids = ids.unionByName(marks.select("repo", "id", none.alias("up"), F.col("mask").cast("long").alias("mask")))
+    known = cut(ids.groupBy("repo", "id").agg(F.max("up").alias("up"), F.expr("bit_or(mask)").alias("mask")))
+    reach, before = 1, None
+    while (live := known.where("up is not null").count()) and not (live == before and reach >= live):
+        above = known.select("repo", F.col("id").alias("up"), F.col("up").alias("further"), F.col("mask").alias("more"))
+        moved = known.where("up is not null").join(above, ["repo", "up"])
+        moved = moved.select("repo", "id", F.col("further").alias("up"), F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
+        known = cut(known.where("up is null").unionByName(moved))
+        reach, before = 2 * reach, live
+    return known.where("mask <> 0").select("repo", "id", "mask")

@@ -8,12 +8,15 @@ the class, and the method named with it, of the argument that a call is about.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockline.operators.graph import ancestors
+from shockline.functions.lineage import cut
+from shockline.operators.graph import inherited_marks
 
 #: Full names of the framework's classes and its facades by short name.
 FACADES = {
@@ -61,26 +64,47 @@ def for_framework(annotations: DataFrame, configuration: DataFrame, framework: s
 
 
 def label_impact(annotations: DataFrame, entries: DataFrame, flows: DataFrame) -> DataFrame:
-    """Annotated symbols in the blast radius and on flows, with the context; unique."""
+    """Annotated symbols in the blast radius and on flows, with the context; unique.
+
+    Entries and nodes meet the annotated symbols first; what is left, which is little, is made unique.
+    """
+    marks = annotations.select("repo", "symbol", "type").distinct()
     blast = entries.select("repo", "change_id", F.col("impacted_symbol").alias("symbol"), F.lit("blast_radius").alias("context"))
     nodes = flows.select("repo", "change_id", F.explode("nodes").alias("n")).select("repo", "change_id", F.col("n.id").alias("symbol"), F.lit("affected_flow").alias("context"))
-    return blast.unionByName(nodes).distinct().join(annotations.select("repo", "symbol", "type").distinct(), ["repo", "symbol"])
+    return blast.unionByName(nodes).join(marks, ["repo", "symbol"]).select("repo", "symbol", "change_id", "context", "type").distinct()
+
+
+#: Classes named like a facade, in all repositories, up to which they are broadcast.
+FEW_NAMESAKES = 100_000
+
+
+def namesakes(classes: DataFrame) -> DataFrame:
+    """repo, class: the project's own classes, interfaces and traits (repo, class) that are named like a facade; at most as many per repository as there are facades."""
+    own = cut(classes.where(F.col("class").isin(*FACADES)).select("repo", "class").distinct())
+    return F.broadcast(own) if own.count() <= FEW_NAMESAKES else own
 
 
-def resolve_facades(facts: DataFrame, classes: DataFrame, column: str = "callee_class") -> DataFrame:
-    """Facade short names become full names unless the project defines a class, interface or trait of that name (repo, class)."""
-    full = F.create_map(*(F.lit(x) for pair in FACADES.items() for x in pair))[F.col(column)]
-    own = classes.select("repo", F.col("class").alias(column), F.lit(True).alias("_own")).distinct()
-    rows = facts.join(own, ["repo", column], "left")
-    name = F.when(full.isNotNull() & F.col("_own").isNull(), full).otherwise(F.col(column))
-    return rows.withColumn(column, name).drop("_own").select(*facts.columns)
+def resolve_facades(facts: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """Facade short names in the columns (callee_class, unless others are named) become full names unless the project defines a class, interface or trait of that name (repo, class)."""
+    own = namesakes(classes)
+    for column in columns or ("callee_class",):
+        full = F.create_map(*(F.lit(x) for pair in FACADES.items() for x in pair))[F.col(column)]
+        rows = facts.join(own.select("repo", F.col("class").alias(column), F.lit(True).alias("_own")), ["repo", column], "left")
+        name = F.when(full.isNotNull() & F.col("_own").isNull(), full).otherwise(F.col(column))
+        facts = rows.withColumn(column, name).select(*facts.columns)
+    return facts
+
+
+#: What is known of a class, as bits: its own or inherited, and, from IS_CLASS on, its own alone.
+CONTROLS, RECEIVES, QUEUED, IS_EVENT, IS_CLASS, HANDLES, INVOKABLE = (1 << k for k in range(7))
 
 
 @dataclass
 class Project:
-    """symbols, parents(repo, child, parent), interfaces and traits (repo, class, name), calls; the closure is shared by the rules.
+    """symbols, parents(repo, child, parent), interfaces and traits (repo, class, name), calls.
 
     symbols may have ``is_abstract``; without it no method is abstract.
+    ``properties`` (repo, class, mask) says in one row what the rules ask of a class.
     """
 
     symbols: DataFrame
@@ -88,46 +112,36 @@ class Project:
     interfaces: DataFrame
     traits: DataFrame
     calls: DataFrame
+    properties: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
-        classes = self.symbols.where("type = 'class'").select("repo", F.col("fqn").alias("class"))
-        self.classes = classes.distinct()
+        classes = self.symbols.where("type = 'class'").select("repo", F.col("fqn").alias("class")).distinct()
         named = self.symbols.where("type in ('class', 'interface', 'trait')").select("repo", F.col("fqn").alias("class"))
-        for column in ("callee_class", "arg_class"):
-            self.calls = resolve_facades(self.calls, named, column)
-        every = self.parents.select("repo", "child", "parent").unionByName(classes.select("repo", F.col("class").alias("child"), F.col("class").alias("parent")))
-        self.closure = ancestors(every)
+        self.calls = resolve_facades(self.calls, named, "callee_class", "arg_class")
         abstract = F.coalesce("is_abstract", F.lit(False)) if "is_abstract" in self.symbols.columns else F.lit(False)
         self.methods = self.symbols.where("type = 'method'").select("repo", F.col("parent").alias("class"), F.col("name").alias("method"), F.col("fqn").alias("method_id"), "visibility", abstract.alias("is_abstract"))
+        mark = lambda rows, id_, mask: rows.select("repo", id_.alias("id"), (mask if isinstance(mask, Column) else F.lit(mask)).cast("long").alias("mask"))
+        base = F.create_map(*(F.lit(x) for name, mask in ((CONTROLLER, CONTROLS), (MODEL, RECEIVES), *((b, RECEIVES) for b in BUILDERS), (SHOULD_QUEUE, QUEUED)) for x in (name, mask)))
+        ends = self.parents.select("repo", F.explode(F.array("child", "parent")).alias("class")).unionByName(classes)
+        holds = lambda facts, name, mask: mark(facts.where(F.col("name") == name), F.col("class"), mask)
+        marks = mark(ends.where(base[F.col("class")].isNotNull()).distinct(), F.col("class"), base[F.col("class")])
+        marks = marks.unionByName(holds(self.interfaces, SHOULD_QUEUE, QUEUED)).unionByName(holds(self.traits, BUS_DISPATCHABLE, QUEUED)).unionByName(holds(self.traits, EVENT_DISPATCHABLE, IS_EVENT))
+        own = mark(classes, F.col("class"), IS_CLASS)
+        for method, mask in (("handle", HANDLES), ("__invoke", INVOKABLE)):
+            own = own.unionByName(mark(self.methods.where(F.col("method") == method), F.col("class"), mask))
+        every = inherited_marks(self.parents, marks).unionByName(own).where("id is not null")
+        self.properties = cut(every.groupBy("repo", F.col("id").alias("class")).agg(F.expr("bit_or(mask)").alias("mask")))
 
-    def extending(self, *names: str) -> DataFrame:
-        """repo, class of the classes that are, or extend at any distance, one of the names."""
-        return self.closure.where(F.col("ancestor").isin(*names)).select("repo", F.col("child").alias("class")).distinct()
-
-    def holding(self, facts: DataFrame, name: str) -> DataFrame:
-        """repo, class of the classes with the interface or trait on a class of their chain."""
-        on = facts.where(F.col("name") == name).select("repo", F.col("class").alias("ancestor"))
-        return self.closure.join(on, ["repo", "ancestor"], "left_semi").select("repo", F.col("child").alias("class")).distinct()
-
-    def queued(self) -> DataFrame:
-        return self.holding(self.interfaces, SHOULD_QUEUE).unionByName(self.extending(SHOULD_QUEUE)).unionByName(self.holding(self.traits, BUS_DISPATCHABLE)).distinct()
-
-    def receivers(self) -> DataFrame:
-        named = self.calls.where(F.col("callee_class").isin(FACADES["DB"], MODEL, *BUILDERS)).select("repo", F.col("callee_class").alias("class"))
-        return self.extending(MODEL, *BUILDERS).unionByName(named).distinct()
 
-    def with_method(self, rows: DataFrame, method: str, flag: str, column: str = "class") -> DataFrame:
-        """rows with a column that says whether the class declares the method."""
-        has = self.methods.where(F.col("method") == method).select("repo", F.col("class").alias(column), F.lit(True).alias(flag)).distinct()
-        return rows.join(has, ["repo", column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _is(mask: int) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(mask)) == mask
 
 
 def _member(class_: str, method: str) -> Column:
     return F.concat(F.col(class_), F.lit("::" + method))
 
 
-def _labelled(rows: DataFrame, type_: str, symbol: Column | None = None) -> DataFrame:
-    symbol = F.col("containing_symbol") if symbol is None else symbol
+def _labelled(rows: DataFrame, type_: str, symbol: Column) -> DataFrame:
     return rows.select("repo", symbol.alias("symbol"), F.lit(type_).alias("type")).where("symbol <> ''")
 
 
@@ -135,78 +149,135 @@ def _chain(names: list[str]) -> Column:
     return F.arrays_overlap("chain", F.array(*map(F.lit, names)))
 
 
-def controllers(p: Project) -> DataFrame:
-    """Public actions of controllers, and the targets of route registrations."""
-    own = p.classes.join(p.extending(CONTROLLER), ["repo", "class"], "left_semi")
+def _static(*callees: str) -> Column:
+    return (F.col("kind") == "static") & F.col("callee_class").isin(*callees)
+
+
+@dataclass
+class Label:
+    """A label that a call gives: where ``when`` holds, ``symbol`` gets the rule's type.
+
+    ``of`` names the column of the class whose properties decide (``and_``, on ``mask``), if any does.
+    """
+
+    type: str
+    when: Column
+    symbol: Column | None = None
+    of: str | None = None
+    and_: Column | None = None
+
+
+@dataclass
+class Rule:
+    """What a rule says of calls, and of a project's classes and methods."""
+
+    calls: Callable[[], list[Label]]
+    structure: Callable[[Project], DataFrame] | None = None
+
+
+def _controller_methods(p: Project) -> DataFrame:
+    """Public actions of controllers."""
     action = ~F.col("method").isin(NON_ACTIONS) & (~F.col("method").startswith("__") | (F.col("method") == "__invoke"))
-    concrete = ~F.col("is_abstract")
-    public = p.methods.where((F.coalesce("visibility", F.lit("public")) == "public") & action & concrete).join(own, ["repo", "class"], "left_semi")
-    routes = p.calls.where((F.col("kind") == "static") & (F.col("callee_class") == FACADES["Route"]) & F.col("name").isin(ROUTE_METHODS) & F.col("arg_class").isNotNull())
-    routes = p.with_method(routes, "__invoke", "invokable", "arg_class")
-    target = F.when(F.col("arg_method").isNotNull(), F.concat_ws("::", "arg_class", "arg_method")).when(F.col("invokable"), _member("arg_class", "__invoke")).otherwise(F.col("arg_class"))
-    return _labelled(public, "api_entrypoint", F.col("method_id")).unionByName(_labelled(routes, "api_entrypoint", target))
-
-
-def database_reads(p: Project) -> DataFrame:
-    return _labelled(p.calls.join(p.receivers().withColumnRenamed("class", "callee_class"), ["repo", "callee_class"], "left_semi").where(_chain(READ_METHODS)), "database_read")
-
-
-def database_writes(p: Project) -> DataFrame:
-    return _labelled(p.calls.join(p.receivers().withColumnRenamed("class", "callee_class"), ["repo", "callee_class"], "left_semi").where(_chain(WRITE_METHODS)), "database_write")
-
-
-def queues(p: Project) -> DataFrame:
-    """Queued classes, and what dispatches to them."""
-    queued = p.queued()
-    own = p.with_method(p.with_method(p.classes.join(queued, ["repo", "class"], "left_semi"), "handle", "handles"), "__invoke", "invokable")
-    symbol = F.when(F.col("handles"), _member("class", "handle")).when(F.col("invokable"), _member("class", "__invoke")).otherwise(F.col("class"))
-    mark = queued.select("repo", "class", F.lit(True).alias("queued"))
-    static = p.calls.where((F.col("kind") == "static") & F.col("name").isin(DISPATCH_METHODS)).join(mark.withColumnRenamed("class", "callee_class"), ["repo", "callee_class"], "left")
-    static = p.with_method(static.where(F.col("queued") | F.col("callee_class").isin(FACADES["Bus"], FACADES["Queue"])), "handle", "handles", "callee_class")
-    jobs = p.calls.where("kind = 'func' and name = 'dispatch' and arg_kind = 'new'").join(mark.withColumnRenamed("class", "arg_class"), ["repo", "arg_class"])
-    jobs = p.with_method(jobs, "handle", "handles", "arg_class")
-    out = _labelled(own, "queue", symbol)
-    for part in (
-        _labelled(static, "queue"),
-        _labelled(static.where("queued"), "queue", F.concat_ws("::", "callee_class", "name")),
-        _labelled(static.where("queued and handles"), "queue", _member("callee_class", "handle")),
-        _labelled(jobs, "queue"),
-        _labelled(jobs.where("handles"), "queue", _member("arg_class", "handle")),
-    ):
-        out = out.unionByName(part)
-    return out
-
-
-def events(p: Project) -> DataFrame:
-    """Event classes, what raises events, and listeners."""
-    own = p.classes.join(p.holding(p.traits, EVENT_DISPATCHABLE), ["repo", "class"], "left_semi")
-    static = p.calls.where((F.col("kind") == "static") & (F.col("callee_class") == FACADES["Event"]))
-    listen = p.with_method(static.where("name = 'listen' and arg_class is not null"), "handle", "handles", "arg_class")
-    target = F.when(F.col("arg_method").isNotNull(), F.concat_ws("::", "arg_class", "arg_method")).when(F.col("handles"), _member("arg_class", "handle")).otherwise(F.col("arg_class"))
-    out = _labelled(own, "event", F.col("class")).unionByName(_labelled(p.calls.where("kind = 'func' and name = 'event'"), "event"))
-    return out.unionByName(_labelled(static.where(F.col("name").isin(*EVENT_METHODS, "listen")), "event")).unionByName(_labelled(listen, "event", target))
-
-
-def authentication(p: Project) -> DataFrame:
+    public = p.methods.where((F.coalesce("visibility", F.lit("public")) == "public") & action & ~F.col("is_abstract"))
+    return _labelled(public.join(p.properties.where(_is(CONTROLS | IS_CLASS)), ["repo", "class"], "left_semi"), "api_entrypoint", F.col("method_id"))
+
+
+def _route_targets() -> list[Label]:
+    route = _static(FACADES["Route"]) & F.col("name").isin(ROUTE_METHODS) & F.col("arg_class").isNotNull()
+    target = F.when(F.col("arg_method").isNotNull(), F.concat_ws("::", "arg_class", "arg_method")).when(_is(INVOKABLE), _member("arg_class", "__invoke")).otherwise(F.col("arg_class"))
+    return [Label("api_entrypoint", route, target, "arg_class", F.lit(True))]
+
+
+def _database(type_: str, methods: list[str]) -> Callable[[], list[Label]]:
+    def labels() -> list[Label]:
+        named = F.col("callee_class").isin(FACADES["DB"], MODEL, *BUILDERS)
+        return [Label(type_, named & _chain(methods)), Label(type_, ~named & _chain(methods), None, "callee_class", _is(RECEIVES))]
+
+    return labels
+
+
+def _queued_classes(p: Project) -> DataFrame:
+    symbol = F.when(_is(HANDLES), _member("class", "handle")).when(_is(INVOKABLE), _member("class", "__invoke")).otherwise(F.col("class"))
+    return _labelled(p.properties.where(_is(QUEUED | IS_CLASS)), "queue", symbol)
+
+
+def _dispatches() -> list[Label]:
+    """What dispatches to queued classes, and these."""
+    static = (F.col("kind") == "static") & F.col("name").isin(DISPATCH_METHODS)
+    job = (F.col("kind") == "func") & (F.col("name") == "dispatch") & (F.col("arg_kind") == "new")
+    return [
+        Label("queue", static & F.col("callee_class").isin(FACADES["Bus"], FACADES["Queue"])),
+        Label("queue", static, None, "callee_class", _is(QUEUED)),
+        Label("queue", static, F.concat_ws("::", "callee_class", "name"), "callee_class", _is(QUEUED)),
+        Label("queue", static, _member("callee_class", "handle"), "callee_class", _is(QUEUED | HANDLES)),
+        Label("queue", job, None, "arg_class", _is(QUEUED)),
+        Label("queue", job, _member("arg_class", "handle"), "arg_class", _is(QUEUED | HANDLES)),
+    ]
+
+
+def _event_classes(p: Project) -> DataFrame:
+    return _labelled(p.properties.where(_is(IS_EVENT | IS_CLASS)), "event", F.col("class"))
+
+
+def _raised() -> list[Label]:
+    """What raises events, and listeners."""
+    facade = _static(FACADES["Event"])
+    target = F.when(F.col("arg_method").isNotNull(), F.concat_ws("::", "arg_class", "arg_method")).when(_is(HANDLES), _member("arg_class", "handle")).otherwise(F.col("arg_class"))
+    raised = ((F.col("kind") == "func") & (F.col("name") == "event")) | (facade & F.col("name").isin(*EVENT_METHODS, "listen"))
+    return [Label("event", raised), Label("event", facade & (F.col("name") == "listen") & F.col("arg_class").isNotNull(), target, "arg_class", F.lit(True))]
+
+
+def _authenticated() -> list[Label]:
     func = (F.col("kind") == "func") & (F.col("name") == "auth")
     facade = (F.col("callee_class") == FACADES["Auth"]) & _chain(AUTH_METHODS)
     request = (F.col("callee_class") == HTTP_REQUEST) & _chain(REQUEST_METHODS)
-    return _labelled(p.calls.where(func | facade | request), "authentication")
+    return [Label("authentication", F.coalesce(func, F.lit(False)) | F.coalesce(facade, F.lit(False)) | F.coalesce(request, F.lit(False)))]
 
 
-def integrations(p: Project) -> DataFrame:
+def _integrated() -> list[Label]:
     made = (F.col("kind") == "new") & (F.col("callee_class") == GUZZLE_CLIENT)
-    sent = F.col("callee_class").isin(HTTP_CLIENTS) & _chain(HTTP_METHODS)
-    return _labelled(p.calls.where(made | sent), "external_integration")
+    return [Label("external_integration", made | (F.col("callee_class").isin(HTTP_CLIENTS) & _chain(HTTP_METHODS)))]
 
 
-RULES: list[Callable[[Project], DataFrame]] = [controllers, database_reads, database_writes, queues, events, authentication, integrations]
+controllers = Rule(_route_targets, _controller_methods)
+database_reads = Rule(_database("database_read", READ_METHODS))
+database_writes = Rule(_database("database_write", WRITE_METHODS))
+queues = Rule(_dispatches, _queued_classes)
+events = Rule(_raised, _event_classes)
+authentication = Rule(_authenticated)
+integrations = Rule(_integrated)
+RULES: list[Rule | Callable[[Project], DataFrame]] = [controllers, database_reads, database_writes, queues, events, authentication, integrations]
 
 
-def framework_labels(project: Project, rules: list[Callable[[Project], DataFrame]] | None = None) -> DataFrame:
-    """repo, symbol, type from all rules, each once."""
-    rows = None
-    for rule in RULES if rules is None else rules:
-        part = rule(project)
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.distinct()
+def call_labels(project: Project, labels: list[Label]) -> DataFrame:
+    """repo, symbol, type from calls: all labels in one scan.
+
+    A call that some label may fit is sent once for each class that decides
+    about one, its callee or its argument, and meets that class's properties;
+    the rest of the calls, and chains, stay where they are read.  A label
+    without such a class goes with the call's first row.
+    """
+    fits = lambda x: F.coalesce(x, F.lit(False))
+    flags = [f"_{k}" for k in range(len(labels))]
+    rows = project.calls.select("repo", "containing_symbol", "name", "callee_class", "arg_class", "arg_method", *(fits(x.when).alias(c) for x, c in zip(labels, flags, strict=True)))
+    any_of = lambda of: reduce(or_, (F.col(c) for x, c in zip(labels, flags, strict=True) if x.of == of), F.lit(False))
+    asked = [F.when(any_of(of), F.lit(of)) for of in ("callee_class", "arg_class")]
+    sides = F.array_compact(F.array(*asked))
+    sides = F.when(F.size(sides) > 0, sides).when(any_of(None), F.array(F.lit("none")))
+    rows = rows.withColumn("side", F.explode(sides)).withColumn("first", F.col("side") != F.when(any_of("callee_class"), F.lit("arg_class")).otherwise(F.lit("-")))
+    # Calls that ask nothing get keys of their own, so that none is common to them all.
+    class_ = F.when(F.col("side") == "callee_class", F.col("callee_class")).when(F.col("side") == "arg_class", F.col("arg_class"))
+    rows = rows.withColumn("class", F.coalesce(class_, F.concat(F.lit("\x00"), "containing_symbol")))
+    met = rows.join(project.properties, ["repo", "class"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    given = lambda x, c: F.col(c) & (F.col("first") if x.of is None else (F.col("side") == x.of) & x.and_)
+    each = F.array(*(F.when(given(x, c), F.struct((F.col("containing_symbol") if x.symbol is None else x.symbol).alias("symbol"), F.lit(x.type).alias("type"))) for x, c in zip(labels, flags, strict=True)))
+    return met.select("repo", F.explode(F.array_compact(each)).alias("l")).select("repo", "l.symbol", "l.type").where("symbol <> ''")
+
+
+def framework_labels(project: Project, rules: list[Rule | Callable[[Project], DataFrame]] | None = None) -> DataFrame:
+    """repo, symbol, type from all rules, each once.  A rule of one's own may also be a function of the project."""
+    rules = RULES if rules is None else rules
+    labels = [label for r in rules if isinstance(r, Rule) for label in r.calls()]
+    parts = [call_labels(project, labels)] if labels else []
+    parts += [r.structure(project) for r in rules if isinstance(r, Rule) and r.structure] + [r(project) for r in rules if not isinstance(r, Rule)]
+    return reduce(DataFrame.unionByName, parts).distinct()
