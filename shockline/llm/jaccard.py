@@ -226,11 +226,11 @@ def classes(every: DataFrame, blocks: DataFrame, n: int, percent: int, merge_ids
     some = every.where("m > 0 and doc_id is not null")
     # A node is a set, taken from one row: of the smallest doc_id, in its first block.
     reps = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "block")).alias("r")).select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.block").alias("block"))
-    reps = cut(reps.withColumn("node", F.xxhash64("set_hash")))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))  # written, so that a set keeps its number
     found = links(profiles(blocks, reps, n, percent), percent)
     if merge_ids:
         ids = some.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
-        mixed = some.join(ids, "doc_id").select("doc_id", F.xxhash64("set_hash").alias("b")).distinct()
+        mixed = some.join(ids, "doc_id").join(reps.select("set_hash", F.col("node").alias("b")), "set_hash").select("doc_id", "b").distinct()
         same = mixed.join(mixed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
         found = found.unionByName(same)
     return reps, components(found).select(F.col("id").alias("node"), F.col("component").alias("root"))

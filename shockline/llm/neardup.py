@@ -157,7 +157,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 7, mis
     """
     plain = cut(usable(vectors))
     groups = plain.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
-    reps = cut(groups.withColumn("rep", F.xxhash64("v")))
+    reps = cut(groups.withColumn("rep", F.monotonically_increasing_id()))  # written, so that a vector keeps its number
     links = None
     dim = F.expr("(octet_length(v) - 1) div if(startswith(v, X'34'), 4, 8)")
     for row in reps.groupBy(dim.alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
