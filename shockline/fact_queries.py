@@ -220,7 +220,7 @@ def _counted(n: str, one: str) -> str:
 )
 def l6_comment(spark, d):
     e, ids = cut(edges(spark, d)), changes(spark, d)
-    reached = cut(impact.blast_origins(ids, e))
+    reached = origins(spark, d)
     c = risk.Context(ids, e, cut(impact.blast_depths(reached)), _history(spark, d))
     factors = cut(risk.risk_factors(c))
     typed = ids.withColumns({"type": F.lit("class"), "file": F.lit("f.php"), "start_line": F.lit(1)})

@@ -141,13 +141,21 @@ def f2_impacted_symbols(spark, d):
     return rows.select("change_id", "impacted_symbol", F.size("edges").cast("long").alias("n_edges"), F.array_join("causes", ",").alias("causes"))
 
 
-def origins(spark, d):
-    return impact.blast_origins(changes(spark, d), edges(spark, d))
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def origins(spark, d) -> DataFrame:
+    """The changes' blast radius, walked and written once per application and folder for all queries that build on it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SHARED:
+        _SHARED[key] = cut(impact.blast_origins(changes(spark, d), edges(spark, d)))
+    return _SHARED[key]
 
 
 @query("f3_blast_origins", f"WITH RECURSIVE {REACH} SELECT change_id, impacted_symbol, changed_symbol, depth::BIGINT AS depth, target, dependency_type, occurrences FROM ev")
 def f3_blast_origins(spark, d):
-    return origins(spark, d).select("change_id", "impacted_symbol", "changed_symbol", F.col("depth").cast("long").alias("depth"), "target", "dependency_type", F.col("occurrences").cast("long").alias("occurrences"))
+    rows = impact.blast_origins(changes(spark, d), edges(spark, d))
+    return rows.select("change_id", "impacted_symbol", "changed_symbol", F.col("depth").cast("long").alias("depth"), "target", "dependency_type", F.col("occurrences").cast("long").alias("occurrences"))
 
 
 @query("f4_blast_radius", f"WITH RECURSIVE {REACH} SELECT change_id, impacted_symbol, min(depth)::BIGINT AS depth, count(*) AS n_origins FROM ev GROUP BY ALL")
@@ -306,7 +314,7 @@ def _history(spark, d) -> DataFrame:
 
 def _context(spark, d) -> risk.Context:
     e, ids = cut(edges(spark, d)), changes(spark, d)
-    entries = cut(impact.blast_depths(impact.blast_origins(ids, e)))
+    entries = cut(impact.blast_depths(origins(spark, d)))
     return risk.Context(ids, e, entries, _history(spark, d))
 
 
@@ -345,7 +353,7 @@ def j_risk_scores(spark, d):
 @query("k_label_impact", f"WITH RECURSIVE {REACH}, a AS (SELECT DISTINCT 's' || s_suppkey AS symbol, CASE WHEN s_acctbal < 0 THEN 'queue' ELSE 'event' END AS type FROM supplier) SELECT en.change_id, a.symbol, a.type, 'blast_radius' AS context FROM en JOIN a ON a.symbol = en.impacted_symbol")
 def k_label_impact(spark, d):
     e = cut(edges(spark, d))
-    entries = impact.blast_depths(impact.blast_origins(changes(spark, d), e))
+    entries = impact.blast_depths(origins(spark, d))
     marks = labels.combine(table(spark, d, "supplier").select(F.lit(REPO).alias("repo"), _id("s", "s_suppkey").alias("symbol"), F.when(F.col("s_acctbal") < 0, "queue").otherwise("event").alias("type")))
     found = flows.affected_flows(changes(spark, d), e, graph.build_nodes(symbols(spark, d), e))
     return labels.label_impact(marks, entries, found).select("change_id", "symbol", "type", "context")
