@@ -19,15 +19,40 @@ TYPE_KINDS = {
 }
 
 
+#: Bindings of a variable that one row holds.
+HELD = 1024
+
+
 def as_of_types(sites: DataFrame, bindings: DataFrame) -> DataFrame:
-    """As-of join: sites on a variable with the type of its latest typed binding earlier in the same scope."""
-    key = ["repo", "file", "scope_symbol", "var", "seq"]
-    of_sites = sites.withColumn("var", F.col("receiver_name")).withColumn("bound", F.lit(None).cast("string")).withColumn("site", F.struct(*sites.columns))
-    of_sites = of_sites.select(*key, "bound", "site")
-    of_bindings = bindings.select(*key, F.col("type").alias("bound"), F.lit(None).cast(of_sites.schema["site"].dataType).alias("site"))
-    order = Window.partitionBy("repo", "file", "scope_symbol", "var").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    both = of_sites.unionByName(of_bindings).withColumn("receiver_type", F.last("bound", ignorenulls=True).over(order))
-    return both.where("site is not null").select("site.*", "receiver_type")
+    """As-of join: sites on a variable with the type of its latest typed binding earlier in the same scope.
+
+    A variable's typed bindings are a sorted array that is searched by halving,
+    so sites meet it in a hash join: shuffled once, not sorted, and those of one
+    hot variable can be split.  A variable of more than HELD bindings has
+    several arrays, each with the places it answers for.  Of typed bindings at
+    one place the last by name counts.  Code outside of any symbol, with a null
+    scope_symbol, is a scope as well; other null keys or places give a null type.
+    """
+    key = ["repo", "file", "scope_symbol", "var"]
+    of_var = Window.partitionBy(*key)
+    typed = bindings.where("type IS NOT NULL AND seq IS NOT NULL").select(*key, "seq", "type")
+    parts = typed.withColumn("part", F.floor((F.row_number().over(of_var.orderBy("seq", "type")) - 1) / HELD))
+    arrays = parts.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", "type"))).alias("held"))
+    start = F.get("held", F.lit(0))["seq"]
+    arrays = arrays.select(*(F.col(c).alias(f"b_{c}") for c in key), "held", start.alias("after"), F.lead(start).over(of_var.orderBy("part")).alias("until"))
+    own = F.struct(*sites.columns).alias("site")
+    of_sites = sites.select(own).select("site", *(F.col(f"site.{c}").alias(c) for c in ("repo", "file", "scope_symbol", "seq")), F.col("site.receiver_name").alias("var"))
+    here = [F.col(c).eqNullSafe(F.col(f"b_{c}")) if c == "scope_symbol" else F.col(c) == F.col(f"b_{c}") for c in key]
+    here += [F.col("seq") > F.col("after"), F.col("until").isNull() | (F.col("seq") <= F.col("until"))]
+    met = of_sites.join(arrays.hint("shuffle_hash"), here, "left")
+    return met.select("site.*", _last_before("held", F.col("seq")).alias("receiver_type"))
+
+
+def _last_before(held: str, seq: Column) -> Column:
+    """Type of the last of at most HELD sorted (seq, type) structs before seq, by halving; null where there is none."""
+    steps = F.array(*(F.lit(HELD >> k) for k in range(HELD.bit_length())))
+    n_before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1)["seq"] < seq, n + step).otherwise(n))
+    return F.get(held, n_before - 1)["type"]
 
 
 def class_name(name: Column, own: Column, parent: Column) -> Column:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from shockline.operators import affected_tests, changed, churn, diffs, graph, impact, labels, reports
+from shockline.operators import affected_tests, changed, churn, deps, diffs, flows, graph, impact, labels, reports
 from shockline.sources import inputs, sinks
 
 EDGE = "repo string, source string, target string, type string, lines array<int>, occurrences int"
@@ -234,3 +234,69 @@ def test_calls_that_fit_several_rules_get_every_label(spark):
         ("S::a", "database_read"), ("S::a", "database_write"), ("S::a", "queue"), ("Both::push", "queue"), ("Both", "queue"), ("Job::handle", "queue"),
         ("S::b", "event"), ("Job::handle", "event"), ("S::c", "queue"), ("S::d", "queue"), ("Job", "api_entrypoint"),
     }
+
+
+def test_flows_of_any_depth_equal_a_queue_search(spark):
+    """Ties between paths and between parallel edges, facts along the path, two repositories that share names, depths past the last level."""
+    rng = random.Random(4)
+    rows = sorted({(repo, f"n{rng.randrange(25)}", f"n{rng.randrange(25)}", k) for repo in "rq" for k in ("method_call", "extends") for _ in range(30)})
+    edges = spark.createDataFrame([(*r, [i], i) for i, r in enumerate(rows)], EDGE)
+    origins = [(repo, f"n{i}") for repo in "rq" for i in range(25)] + [("r", "missing")]
+    out = defaultdict(list)
+    for i, (repo, s, t, k) in enumerate(rows):
+        if s != t:
+            out[repo, s].append((t, k, i))
+    for limit in (1, 3, 9):
+        want = Counter()
+        for repo, o in origins:
+            trees, queue, inner = {o: ()}, deque([o]), set()
+            while queue:
+                n = queue.popleft()
+                for t, k, i in sorted(out[repo, n]) if len(trees[n]) < limit else ():
+                    if t not in trees:
+                        trees[t] = (*trees[n], (t, k, i))
+                        inner.add(n)
+                        queue.append(t)
+            want.update((repo, o, p) for n, p in trees.items() if p and n not in inner)
+        found = flows.paths(spark.createDataFrame(origins, "repo string, origin string"), edges, limit, ["occurrences"]).collect()
+        assert Counter((r.repo, r.origin, tuple(zip(r.path, r.types, (f.occurrences for f in r.facts)))) for r in found) == want
+    assert max(len(p) for _, _, p in want) > 4
+    nothing = flows.paths(spark.createDataFrame(origins, "repo string, origin string"), edges, 0)
+    assert nothing.columns == ["repo", "origin", "path", "types", "facts"] and nothing.count() == 0
+    assert flows.paths(spark.createDataFrame(origins, "repo string, origin string"), edges.where("false")).count() == 0
+
+
+def test_flows_shuffle_no_facts_from_level_to_level(spark):
+    steps = flows.numbered_steps(spark.createDataFrame([("r", "a", "b", "extends", [1], 1)], EDGE), F.struct("lines"))
+    zero = spark.createDataFrame([("r", "a", 0)], "repo string, origin string, rank long")
+    (level,) = flows.tree_levels(zero, steps.select("repo", "node", "next", "edge"), 2)
+    assert dict(level.dtypes) == {"o": "bigint", "repo": "string", "node": "string", "up": "bigint", "edge": "bigint", "rank": "bigint"}
+
+
+def test_types_as_of_a_place_equal_a_plain_search(spark):
+    """Scopes of one binding and of several arrays, bindings without a type, ties of place, places of bindings themselves, nulls."""
+    rng = random.Random(6)
+    held, deps.HELD = deps.HELD, 8
+    try:
+        bound = [("r", "f", s, rng.randrange(n), v, rng.choice(["A", "B", None])) for s, n in (("big", 300), ("small", 6), (None, 40)) for v in "xy" for _ in range(n // 2)]
+        bound += [("r", "f", "same", 5, "x", f"T{i:02}") for i in range(30)] + [("r", "f", "big", None, "x", "N"), ("q", "f", "big", 1, "x", "Q"), ("r", "f", "big", 1, None, "N")]
+        sites = [(repo, "f", s, k, v) for repo in "rq" for s in ("big", "small", "same", "none", None) for v in ("x", "y", "z", None) for k in (*range(0, 310, 3), 5, 6, None)]
+        rows = deps.as_of_types(
+            spark.createDataFrame(sites, "repo string, file string, scope_symbol string, seq int, receiver_name string"),
+            spark.createDataFrame(bound, "repo string, file string, scope_symbol string, seq int, var string, type string"),
+        )
+        by_scope = defaultdict(list)
+        for repo, f, s, k, v, t in bound:
+            if k is not None and v is not None and t is not None:
+                by_scope[repo, f, s, v].append((k, t))
+        want = Counter((*site, max((b for b in by_scope[*site[:3], site[4]] if site[3] is not None and b[0] < site[3]), default=(0, None))[1]) for site in sites)
+        assert Counter(map(tuple, rows.select("repo", "file", "scope_symbol", "seq", "receiver_name", "receiver_type").collect())) == want
+    finally:
+        deps.HELD = held
+
+
+def test_sites_are_not_sorted_for_their_types(spark):
+    sites = spark.createDataFrame([("r", "f", "m", 1, "x")], "repo string, file string, scope_symbol string, seq int, receiver_name string")
+    bound = spark.createDataFrame([], "repo string, file string, scope_symbol string, seq int, var string, type string")
+    plan = deps.as_of_types(sites, bound)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
