@@ -37,7 +37,7 @@ def as_of_types(sites: DataFrame, bindings: DataFrame) -> DataFrame:
     of_var = Window.partitionBy(*key)
     typed = bindings.where("type IS NOT NULL AND seq IS NOT NULL").select(*key, "seq", "type")
     parts = typed.withColumn("part", F.floor((F.row_number().over(of_var.orderBy("seq", "type")) - 1) / HELD))
-    arrays = parts.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", "type"))).alias("held"))
+    arrays = parts.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct("seq", "type"))).alias("held"))
     start = F.get("held", F.lit(0))["seq"]
     arrays = arrays.select(*(F.col(c).alias(f"b_{c}") for c in key), "held", start.alias("after"), F.lead(start).over(of_var.orderBy("part")).alias("until"))
     own = F.struct(*sites.columns).alias("site")
@@ -107,7 +107,7 @@ def resolve(sites: DataFrame, bindings: DataFrame, property_types: DataFrame, co
 
 def aggregate(resolved: DataFrame) -> DataFrame:
     """Dependencies: lines sorted and unique, occurrences = number of sites."""
-    return resolved.groupBy("repo", "file", "source", "target", "type").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count("*").cast("int").alias("occurrences"))
+    return resolved.groupBy("repo", "file", "source", "target", "type").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.count("*").cast("int").alias("occurrences"))
 
 
 def merge(*results: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def of_changed_files(dependencies: DataFrame, files: DataFrame) -> DataFrame:
 
 def duplicate_symbols(symbols: DataFrame) -> DataFrame:
     """Definitions found twice: repo, fqn, n, files."""
-    return symbols.groupBy("repo", "fqn").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("file")).alias("files")).where("n > 1")
+    return symbols.groupBy("repo", "fqn").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("file")).alias("files")).where("n > 1")
 
 
 def without_duplicates(symbols: DataFrame, strict: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ def listed_edges(edges: DataFrame) -> DataFrame:
 
 def reverse_adjacency(edges: DataFrame) -> DataFrame:
     """Per target with an incoming edge, its edges by (source, type)."""
-    return edges.groupBy("repo", "target").agg(F.array_sort(F.collect_list(F.struct("source", "type", "lines", "occurrences"))).alias("edges"))
+    return edges.groupBy("repo", "target").agg(F.sort_array(F.collect_list(F.struct("source", "type", "lines", "occurrences"))).alias("edges"))
 
 
 def ancestors(parents: DataFrame, max_rounds: int = 1000) -> DataFrame:

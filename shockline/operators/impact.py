@@ -21,8 +21,8 @@ def direct_impact(changed: DataFrame, edges: DataFrame) -> DataFrame:
 def impacted_symbols(impact: DataFrame) -> DataFrame:
     """Per impacted symbol: its edges and its sorted distinct causes."""
     return impact.groupBy("repo", "change_id", "impacted_symbol").agg(
-        F.array_sort(F.collect_list(F.struct("changed_symbol", "dependency_type", "lines", "occurrences"))).alias("edges"),
-        F.array_sort(F.collect_set("changed_symbol")).alias("causes"),
+        F.sort_array(F.collect_list(F.struct("changed_symbol", "dependency_type", "lines", "occurrences"))).alias("edges"),
+        F.sort_array(F.collect_set("changed_symbol")).alias("causes"),
     )
 
 
@@ -151,7 +151,7 @@ def blast_radius(origins: DataFrame) -> DataFrame:
     """Entries per change and impacted symbol: shortest depth, and its origins in order."""
     first = F.coalesce(F.get("lines", F.lit(0)), F.lit(0)).alias("line")
     each = F.struct("changed_symbol", "depth", "dependency_type", "target", first, "lines", "occurrences")
-    return origins.groupBy("repo", "change_id", "impacted_symbol").agg(F.min("depth").alias("depth"), F.transform(F.array_sort(F.collect_list(each)), lambda x: x.dropFields("line")).alias("origins"))
+    return origins.groupBy("repo", "change_id", "impacted_symbol").agg(F.min("depth").alias("depth"), F.transform(F.sort_array(F.collect_list(each)), lambda x: x.dropFields("line")).alias("origins"))
 
 
 def blast_depths(origins: DataFrame) -> DataFrame:
