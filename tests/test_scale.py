@@ -266,6 +266,20 @@ def test_flows_of_any_depth_equal_a_queue_search(spark):
     assert flows.paths(spark.createDataFrame(origins, "repo string, origin string"), edges.where("false")).count() == 0
 
 
+def test_flows_that_no_edge_leaves_are_an_empty_table(spark):
+    """All columns are read: origins without an outgoing edge, edges onto themselves alone, no edge at all, no depth."""
+    edges = spark.createDataFrame([("r", "p", "s", "method_call", [1], 1), ("r", "s", "s", "method_call", [1], 1)], EDGE)
+    changed_ids = spark.createDataFrame([("r", "c", "s")], "repo string, change_id string, symbol string")
+    nodes = spark.createDataFrame([("r", "s", True)], "repo string, id string, known boolean")
+    full = flows.affected_flows(changed_ids.withColumn("symbol", F.lit("p")), edges, nodes)
+    assert [n.id for n in full.head().nodes] == ["s"]
+    for some, depth in ((edges, 3), (edges.where("source = target"), 3), (edges.where("false"), 3), (edges, 0)):
+        found = flows.affected_flows(changed_ids, some, nodes, depth)
+        assert found.dtypes == full.dtypes and found.collect() == []
+        assert flows.listed_flows(found).collect() == [] and flows.flow_classes(found).collect() == []
+        assert flows.paths(changed_ids.select("repo", F.col("symbol").alias("origin")), some, depth, ["lines"]).collect() == []
+
+
 def test_flows_shuffle_no_facts_from_level_to_level(spark):
     steps = flows.numbered_steps(spark.createDataFrame([("r", "a", "b", "extends", [1], 1)], EDGE), F.struct("lines"))
     zero = spark.createDataFrame([("r", "a", 0)], "repo string, origin string, rank long")
