@@ -124,8 +124,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for run in slices(batch.column(1)):
-                for k, body in enumerate(bpe.encode([run.text(i) for i in range(len(run))]), run.first):
+            for run in slices(batch.column(1), 1 << 21):
+                for k, body in enumerate(bpe.encode_run(run), run.first):
                     ids.append(keys[k])
                     bodies.append(body + tail)
                     held += len(body) // 4 + 1

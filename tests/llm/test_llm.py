@@ -96,6 +96,29 @@ def test_word_encoder_equals_library():
         assert bpe.encode([text])[0] == bpe._raw(text)
 
 
+def test_word_encoder_equals_library_where_words_are_cut():
+    """Letters, digits, signs, contractions, combining marks and white space in any order; texts side by side in a run."""
+    bpe, rng = WordBpe(vocabulary("word_bpe_49k.json")), random.Random(8)
+    marks = ["H\u0331", "T\u0308x", "W\u030a.", "Y\u030a1", "J\u030cb", "W\u05a5\u030a", "I\u0307", "A\u030a", "=\u0338", "h\u0331", "1\u0301", ".\u0301a"]
+    bits = [*marks, *"'sStTdDmM", "'re", "'LL", "'ve", "''", ".'", "'.", '"', "-", "_", "<", "=", "@", "~", "0", "42", "\u0663", "\u00bd", "\u00d7", "\u00f7", "\u00aa", "\u00b5", "\u00c0", "\u00ff", "\u0130", "\u03a3", "\u0416", "\u4e2d", "\U0001d400", "\u02b0", "\u2019s", "\U0001f600", "\u037e", "\u212b",
+            "ab", "Cd", " ", "\n", "\t", "\x0b", "\r", "\x00", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\u2003", "\u200b", "\ufeff", "\u3000", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = [*marks, "", " ", "\n\n", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(6000))]
+    want = [bpe._raw(t) for t in texts]
+    assert bpe.encode(texts) == want
+    assert [bpe.encode([t])[0] for t in texts[:500]] == want[:500]
+    assert bpe.encode([]) == [] and bpe.encode(["", ""]) == [b"", b""] and bpe.encode([" ", "\n"]) == [b"", b""]
+
+
+def test_words_with_signs_and_digits_cost_no_call_of_the_library_each():
+    bpe, calls = WordBpe(vocabulary("word_bpe_49k.json")), []
+    raw = bpe._raw
+    bpe._raw = lambda text: calls.append(text) or raw(text)
+    texts = [f"a{k}b.c{k}, (d-{k}) \"e{k}\" f@{k}.g \u00e9{k}!" for k in range(2000)]
+    found = bpe.encode(texts)
+    assert len(calls) < 50
+    assert found == list(map(raw, texts))
+
+
 def plain_components(links, ids):
     root = {i: i for i in ids}
 
