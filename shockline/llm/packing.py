@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for run in slices(batch.column(1), 1 << 21):
+            for run in slices(batch.column(1)):
                 for k, body in enumerate(bpe.encode_run(run), run.first):
                     ids.append(keys[k])
                     bodies.append(body + tail)
@@ -133,5 +133,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                         yield flush()
         if bodies:
             yield flush()
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(packed, PIECES)

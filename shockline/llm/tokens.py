@@ -71,7 +71,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda word: self._raw(word.decode()), 200_000)
+        self.memo = Memo(lambda word: self._raw(word.decode()), 100_000)
         vocab = self.tokenizer.get_vocab()
         # Special tokens are found before letters are lowered, and only as they are written.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -161,6 +161,12 @@ class WordBpe:
         cuts = (4 * to[first]).tolist()
         return [self._raw(run.text(i)) if i in special else ids[cuts[i] : cuts[i + 1]] for i in range(n)]
 
+    def forget(self) -> None:
+        """Gives the memo's memory back: a worker process is used again by other stages."""
+        self.memo.clear()
+        self.memo.old = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens added."""
         bodies = [t.encode() for t in texts]
