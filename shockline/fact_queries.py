@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shockline.functions.lineage import cut
 from shockline.functions.names import node_name
 from shockline.operators import affected_tests, churn, deps, diffs, flows, graph, impact, labels, reports, risk
-from shockline.queries import EDGES, FLOWS, REACH, REPO, RISK, _history, _id, _joined, changes, commits, edges, origins, query, symbols, table
+from shockline.queries import EDGES, FLOWS, REACH, REPO, RISK, _context, _id, _joined, blast, changes, commits, edges, links, query, symbols, table
 
 
 def _no_text():
@@ -114,7 +114,7 @@ def e6_node_names(spark, d):
 
 @query("f5_entries_at_depth", f"WITH RECURSIVE {REACH} SELECT change_id, impacted_symbol FROM en WHERE depth = 2")
 def f5_entries_at_depth(spark, d):
-    return impact.entries_at(impact.blast_depths(origins(spark, d)), 2).select("change_id", "impacted_symbol")
+    return impact.entries_at(blast(spark, d).entries(), 2).select("change_id", "impacted_symbol")
 
 
 @query("g6_flow_classes", f"WITH {FLOWS} SELECT p_brand AS change_id, array_to_string(list_sort(list_distinct(list(node))), ',') AS names FROM t JOIN part ON origin = 'p' || p_partkey GROUP BY p_brand")
@@ -171,19 +171,19 @@ TEST_ROWS = "ti AS (SELECT change_id, changed_symbol, impacted_symbol AS test_sy
 TESTS = f"{REACH}, {TEST_ROWS}"
 
 
-def _test_impact(spark, d, found: DataFrame) -> DataFrame:
+def _test_impact(spark, d) -> DataFrame:
     tests = table(spark, d, "customer").select(F.lit(REPO).alias("repo"), _id("c", "c_custkey").alias("id"), F.lit("method").alias("kind"), F.lit("t.php").alias("file"))
-    return affected_tests.test_impact(found, tests)
+    return affected_tests.test_impact_of(changes(spark, d), links(spark, d), tests)
 
 
 @query("l3_unique_tests", f"WITH RECURSIVE {TESTS} SELECT change_id, test_symbol, b.depth::BIGINT AS depth, b.changed_symbol AS changed_symbol FROM ut")
 def l3_unique_tests(spark, d):
-    return affected_tests.unique_tests(_test_impact(spark, d, origins(spark, d))).select("change_id", "test_symbol", F.col("depth").cast("long").alias("depth"), "changed_symbol")
+    return affected_tests.unique_tests(_test_impact(spark, d)).select("change_id", "test_symbol", F.col("depth").cast("long").alias("depth"), "changed_symbol")
 
 
 @query("l4_test_counts", f"WITH RECURSIVE {TESTS} SELECT change_id, count(*) FILTER (b.depth <= 1) AS direct, count(*) FILTER (b.depth > 1) AS indirect FROM ut GROUP BY change_id")
 def l4_test_counts(spark, d):
-    return affected_tests.test_counts(_test_impact(spark, d, origins(spark, d))).select("change_id", "direct", "indirect")
+    return affected_tests.test_counts(_test_impact(spark, d)).select("change_id", "direct", "indirect")
 
 
 def _listed(l: str, limit: int, more: str) -> str:
@@ -219,13 +219,12 @@ def _counted(n: str, one: str) -> str:
     FROM sc LEFT JOIN s1 USING (change_id) LEFT JOIN s2 USING (change_id) LEFT JOIN s3 USING (change_id) LEFT JOIN s4 USING (change_id) LEFT JOIN s5 USING (change_id) LEFT JOIN s6 USING (change_id)""",
 )
 def l6_comment(spark, d):
-    e, ids = cut(edges(spark, d)), changes(spark, d)
-    reached = origins(spark, d)
-    c = risk.Context(ids, e, cut(impact.blast_depths(reached)), _history(spark, d))
+    e, ids = edges(spark, d), changes(spark, d)
+    c = _context(spark, d)
     factors = cut(risk.risk_factors(c))
     typed = ids.withColumns({"type": F.lit("class"), "file": F.lit("f.php"), "start_line": F.lit(1)})
     found = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e))
-    return reports.comment(risk.risk_scores(ids, factors), typed, c.entries, found, _test_impact(spark, d, reached), c.churn, factors).select("change_id", "comment")
+    return reports.comment(risk.risk_scores(ids, factors), typed, c.histogram, found, _test_impact(spark, d), c.churn, factors).select("change_id", "comment")
 
 
 #: Parts are classes: every seventh a controller, the next one its subclass; every 11th is queued, every 13th an event.
