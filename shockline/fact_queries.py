@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shockline.functions.lineage import cut
 from shockline.functions.names import node_name
 from shockline.operators import affected_tests, churn, deps, diffs, flows, graph, impact, labels, reports, risk
-from shockline.queries import EDGES, FLOWS, REACH, REPO, RISK, _context, _id, _joined, blast, changes, commits, edges, links, query, symbols, table
+from shockline.queries import EDGES, FLOWS, REACH, REPO, RISK, _context, _id, _joined, blast, changes, commits, edges, edges_near, links, query, symbols, table
 
 
 def _no_text():
@@ -219,8 +219,8 @@ def _counted(n: str, one: str) -> str:
     FROM sc LEFT JOIN s1 USING (change_id) LEFT JOIN s2 USING (change_id) LEFT JOIN s3 USING (change_id) LEFT JOIN s4 USING (change_id) LEFT JOIN s5 USING (change_id) LEFT JOIN s6 USING (change_id)""",
 )
 def l6_comment(spark, d):
-    e, ids = edges(spark, d), changes(spark, d)
-    c = _context(spark, d)
+    ids = changes(spark, d)
+    e, c = edges_near(spark, d, ids), _context(spark, d)
     factors = cut(risk.risk_factors(c))
     typed = ids.withColumns({"type": F.lit("class"), "file": F.lit("f.php"), "start_line": F.lit(1)})
     found = flows.affected_flows(ids, e, graph.build_nodes(symbols(spark, d), e))
